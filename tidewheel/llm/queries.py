@@ -9,6 +9,7 @@ from ._util import table
 
 WINDOW, END_ID = 2048, 1
 TOKEN_LIMIT = 4096
+SHARD_BYTES = 1 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,6 +26,32 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_pii, joined, of_kind
+
+    base = F.filter("pii", lambda s: s["kind"].isin(*KINDS[:4]))
+    return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", *[of_kind(F.col("pii"), k).alias(f"n_{k}") for k in KINDS[:4]],
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"),
+    )
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination, is_contaminated
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"),
+    )
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import extendible
+
+    rows, _ = extendible(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)
+    return rows.select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "n_rows", "fits")
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_chats
 
@@ -69,13 +96,35 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_pii": op2_pii,
     "op3_chat": op3_chat,
+    "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
+    "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
 }
 
 ORACLE = {
+    "op4_decontaminate": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+        b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+        i AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[s:s + 12], ' ') AS win FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+        z AS (SELECT DISTINCT n FROM i),
+        g AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS win FROM (SELECT d.*, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, z)),
+        h AS (SELECT doc_id, s, g.n, item_id FROM g JOIN i ON g.win = i.win AND g.n = i.n),
+        c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op6_sharding": """
+        WITH r AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+        p AS (SELECT *, d, CASE WHEN d = 0 THEN '' ELSE right(lpad(bin(h), 60, '0'), 60)[1:d] END AS b FROM r, range(0, 41) AS t(d)),
+        s AS (SELECT d, b, sum(n_bytes) AS x, count(*) AS n FROM p GROUP BY d, b),
+        f AS (SELECT doc_id, n_bytes, min(p.d) AS depth FROM p JOIN s ON p.d = s.d AND p.b = s.b WHERE x <= 1048576 OR n = 1 GROUP BY doc_id, n_bytes)
+        SELECT f.doc_id, CAST(f.n_bytes AS BIGINT) AS n_bytes, p.b AS shard, CAST(f.depth AS INTEGER) AS depth, CAST(x AS BIGINT) AS shard_bytes, n AS n_rows, x <= 1048576 AS fits
+        FROM f JOIN p ON f.doc_id = p.doc_id AND f.depth = p.d JOIN s ON s.d = p.d AND s.b = p.b""",
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         q AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest FROM p),
