@@ -94,6 +94,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -103,6 +109,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
+    "op9_jaccard": op9_jaccard,
 }
 
 ORACLE = {
