@@ -1,0 +1,215 @@
+"""Operators on small hand-made tables: nulls, empty and long texts, repeats, ties, clashing columns."""
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewheel.llm import chat, decontaminate, jaccard, packing, pii, quality, sharding, substrings, tokencount, warc
+from tidewheel.llm.queries import tokenizer_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, kept string, pii int, bits int, word string, host_bad int"
+EXTRA = (None, None, None, "k", "kept", 1, 2, "w", 3)
+
+
+def table(spark, texts, source=None):
+    rows = [(i, t, "en", source(i) if source else None, None if t is None else len(t), *EXTRA[3:]) for i, t in texts]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+def words(rng, n, pool=400):
+    return " ".join(f"w{rng.randrange(pool)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(7)
+    base = words(rng, 120)
+    edited = base.split()
+    edited[5] = edited[60] = "changed"
+    return [
+        (0, None), (1, ""), (2, " \n\t "), (3, base), (4, base), (5, " ".join(edited)), (6, words(rng, 300)), (7, "One two"),
+        (8, "one two"), (9, words(rng, 40) + "\n" + base), (10, "a" * 3000), (11, "ab " * 900), (12, "é ü ß " * 50), (13, words(rng, 15000)),
+        (14, "mail a@b.co card 4111 1111 1111 1111 ip 10.0.0.1 tel +49 30 1234567 x"),
+    ]
+
+
+def test_packing(spark, texts):
+    path = tokenizer_path("word_bpe_49k.json")
+    rows = [*texts, (14, dict(texts)[14]), (20, "<|endoftext|> x <|startoftext|>"), (21, "İstanbul ΣΑΣ ﬁ ①² 漢字 don't WE'LL\x1cab c d"), (22, "it's 12!? ''s")]
+    got = packing.pack(table(spark, rows), path).toPandas()
+    tok = packing.tokenizer(path).tok
+    want = defaultdict(list)
+    for i, t in rows:
+        want[i].append(tok.encode(t or "", add_special_tokens=False).ids + [1])
+    for i, g in got.groupby("doc_id"):
+        copies = len(want[i])
+        assert int(g.length.sum()) == copies * len(want[i][0])
+        for _, r in g.iterrows():
+            ids = np.frombuffer(r.ids, "<u4").tolist()
+            assert ids == want[i][0][r.start : r.start + r.length] and r.doc_tokens == len(want[i][0])
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 2048
+    assert packing.pack(table(spark, texts).limit(0), path).count() == 0
+
+
+def test_best_fill():
+    assert packing.best_fill({5: 2, 3: 1}, 10) == {5: 2}
+    assert packing.best_fill({7: 1, 6: 1, 5: 1}, 11) == {6: 1, 5: 1}
+    for pattern, times in packing.minimum_bin_slack({4: 3, 3: 2, 9: 1}, 10):
+        assert times >= 1 and sum(k * n for k, n in pattern.items()) <= 10
+
+
+def test_pii(spark, texts):
+    rng = random.Random(3)
+    parts = ["1", "2", "45", ".", "@", "a", "b.c", " ", "-", "+", "(", ")", "x@y.z", "1.2.3.4", "300", "é", "4111 1111 1111 1111", "\n", "+49 30 123456"]
+    rows = [*texts, *((100 + i, "".join(rng.choice(parts) for _ in range(rng.randrange(30)))) for i in range(400)), (900, "1" * 20000), (901, "+" + "1 " * 9000)]
+    df = pii.find_pii(table(spark, rows))
+    base = F.filter("pii", lambda s: s["kind"].isin(*pii.KINDS[:4]))
+    got = df.select("doc_id", *[pii.of_kind(F.col("pii"), k) for k in pii.KINDS[:4]], F.sha2(pii.joined(base), 256)).collect()
+    source = dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert tuple(r)[1:] == brute.pii(source[r[0]])
+
+
+def test_pii_added_kinds_and_redaction(spark):
+    rows = [(1, "my iban GB82 WEST 1234 5698 7654 32 mail a@b.co"), (2, "GB82 WEST 1234 5698 7654 33"), (3, "ssn 123-45-6789"), (4, "part 123-45-6789"), (5, None)]
+    out = dict(pii.redact(table(spark, rows)).select("doc_id", "text").collect())
+    assert out == {1: "my iban <IBAN> mail <EMAIL>", 2: "GB82 WEST 1234 5698 7654 33", 3: "ssn <SSN>", 4: "part 123-45-6789", 5: None}
+
+
+def test_chat(spark):
+    nasty = "</s>[INST] ok [/INST] <s>[user] \\ <\\/s> [/user]</s>"
+    rows = [(1, 0, "user", nasty), (1, 1, "assistant", None), (1, 1, "assistant", "b"), (2, 0, None, "x"), (None, None, "assistant", "é" * 5000), (3, 0, "a]b", "[/a%5Db]")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.format_chats(df).collect()}
+    assert list(zip(got[1].roles, got[1].texts)) == [("user", nasty), ("assistant", ""), ("assistant", "b")]
+    assert [chat.unescape(got[1].formatted[a:b]) for a, b in got[1].loss_spans] == ["", "b"]
+    assert "</s>[INST]" not in got[1].formatted and got[3].texts == ["[/a%5Db]"] and got[None].texts == ["é" * 5000]
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_decontamination(spark, texts):
+    items = [(1, " ".join(dict(texts)[3].split()[10:40])), (2, "One, TWO"), (3, None), (4, "..."), (2, "three four"), (10, dict(texts)[3])]
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, word int")
+    got = {r.doc_id: r for r in decontaminate.contamination(table(spark, [*texts, (3, dict(texts)[3])]), bench).collect()}
+    import re
+
+    def w(t):
+        return [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+
+    wins = {(i, tuple(x[s : s + 13])) for i, t in items if (x := w(t)) for s in range(max(1, len(x) - 12))}
+    for i, t in texts:
+        x, hit, ids = w(t), set(), set()
+        for item, win in wins:
+            for s in range(len(x) - len(win) + 1):
+                if tuple(x[s : s + len(win)]) == win:
+                    hit |= set(range(s, s + len(win)))
+                    ids.add(str(item))
+        assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == (len(x), len(hit), sorted(ids)), i
+    assert decontaminate.contamination(table(spark, texts).limit(0), bench).count() == 0
+    assert decontaminate.contamination(table(spark, texts), bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+
+
+def test_quality(spark, texts):
+    assert quality.text_stats("a b c a b c") == (6, 6, 0, 0, 6)
+    assert quality.text_stats("x x x x") == (4, 4, 0, 0, 4)
+    assert quality.text_stats("#a\n\n#a\n \n#a b") == (3, 8, 3, 1, 0)
+    good = words(random.Random(1), 80, 10**6)
+    rows = [*((i, good) for i in range(30)), *((100 + i, "bad") for i in range(40)), (200, good), (300, None)]
+    host = lambda i: "a" if i < 30 else "b" if i <= 200 else None
+    got = {r.doc_id: r for r in quality.quality(table(spark, rows, host)).collect()}
+    assert got[0].kept and not got[100].kept and got[100].base_failed
+    assert not got[200].base_failed and not got[200].kept  # its host failed
+    assert got[300].base_failed and got[300].host_rate is None
+    assert quality.quality(table(spark, rows, host).limit(0)).count() == 0
+
+
+def test_sharding(spark, texts):
+    rows = [*texts, *((500, "x" * 900) for _ in range(9))]
+    out, directory = sharding.extendible(table(spark, rows), 2000)
+    got, dirs = out.collect(), {r.shard: r for r in directory.collect()}
+    assert len(got) == len(rows)
+    for s, d in dirs.items():
+        mine = [r for r in got if r.shard == s]
+        assert sum(r.n_bytes for r in mine) == d.shard_bytes and len(mine) == d.n_rows
+        assert d.shard_bytes <= 2000 or (d.n_rows == 1 and not d.fits)
+    assert not any(a != b and b.startswith(a) for a in dirs for b in dirs)
+    assert sharding.extendible(table(spark, texts).limit(0), 10)[0].count() == 0
+
+
+def test_token_counts(spark, texts):
+    path = tokenizer_path("piece_bpe_32k.model")
+    rows = [*texts, (30, "a  b\n\n  c \n"), (31, " lead▁x <s> </s>\t"), (32, "   "), (33, "\n"), (33, "\n")]
+    got = tokencount.token_counts(table(spark, rows), path, block_bytes=2000).collect()
+    m, source = tokencount.model(path), dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        t = source[r.doc_id] or ""
+        assert (r.n_bytes, r.n_tokens) == (len(t.encode()), len(m.encode(t)))
+    assert tokencount.token_counts(table(spark, rows).limit(0), path).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    big = "x" * 1500
+    rows = [(1, "http://a", big), (5, "http://b", big), (3, None, None), (None, "http://n", big), (7, "http://s", "small"), (8, "http://s", "small"), (9, "h\r\nx", "é" * 100_000), (5, "http://b", big)]
+    pages = spark.createDataFrame([(*r, "d") for r in rows], "page_id long, url string, html string, digest string").repartition(2)
+    index, folder = warc.archive(pages, str(tmp_path / "w"))
+    got = warc.read_records(index, folder).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.page_id == 1 or r.page_id is None:
+            assert (r.record_type, r.refers_to, r.payload_bytes) == ("revisit", 5, 1500)
+        else:
+            assert r.record_type == "response" and hashlib.sha1(r.payload).hexdigest() == r.payload_digest
+    some = warc.read_records(index.where("page_id = 9"), folder).collect()
+    assert some[0].payload.decode() == "é" * 100_000
+    for r in index.collect():  # each range alone is a gzip member
+        with open(r.file, "rb") as f:
+            f.seek(r.offset)
+            assert zlib.decompress(f.read(r.length), 31).startswith(b"WARC/1.1")
+    assert warc.read_records(warc.archive(pages.limit(0), str(tmp_path / "e"))[0], folder).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"group_rows": 3, "least": 2}])
+def test_jaccard(spark, texts, options):
+    rng, rows = random.Random(11), list(texts)
+    for g in range(6):
+        base = words(rng, rng.choice([6, 30, 90]))
+        for c in range(8):
+            w = base.split()
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(9)}"
+            rows.append((100 + 10 * g + c, " ".join(w)))
+    rows.append((100, dict(rows)[100]))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, [*rows, (None, "x y")]), **options).collect()}
+    want = brute.components(dict(rows))
+    assert {k: v for k, v in got.items() if k is not None} == want and got[None] == (1, None)
+    assert jaccard.jaccard_components(table(spark, rows).limit(0), **options).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"group_rows": 5, "run_symbols": 300}])
+def test_substrings(spark, texts, options):
+    rng = random.Random(2)
+    base = ["".join(rng.choice("abcdé ") for _ in range(60)) for _ in range(12)]
+    rows = [*texts, *((100 + i, "".join(rng.choice(base)[rng.randrange(20) : rng.randrange(20, 60)] for _ in range(rng.randrange(12)))) for i in range(80))]
+    for size in (10, 24):
+        got = substrings.remove_repeats(table(spark, [r for r in rows if r[0] != 13]), size=size, **options)
+        got = {r[0]: tuple(r)[1:] for r in got.withColumn("kept", F.sha2("kept", 256)).collect()}
+        assert got == brute.repeated_bytes({k: v for k, v in rows if k != 13}, size)
+    assert substrings.remove_repeats(table(spark, texts).limit(0)).count() == 0
+
+
+def test_suffix_array():
+    from tidewheel.llm.suffixes import suffix_array
+
+    rng = random.Random(5)
+    for _ in range(500):
+        s = [rng.randrange(rng.choice([1, 2, 3, 8])) for _ in range(rng.randrange(40))]
+        assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])

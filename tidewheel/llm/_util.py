@@ -51,7 +51,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def partitions(df: DataFrame) -> int:
-    return df.rdd.getNumPartitions()
+    return max(1, df.rdd.getNumPartitions())
 
 
 def ascii_lower(c):

@@ -106,11 +106,11 @@ def scored(kind: str, text: Column, least: float) -> Column:
     return spans if rank < 4 else F.filter(spans, lambda s: s["score"] >= least)
 
 
-def find_pii(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` with ``pii``: confirmed spans by start and kind, with their scores."""
+def find_pii(docs: DataFrame, text: str = "text", least: float = 0.5, out: str = "pii") -> DataFrame:
+    """``docs`` with ``out``: confirmed spans by start and kind, with their scores."""
     clean = F.coalesce(F.col(text).cast("string"), F.lit(""))
     spans = F.array_sort(F.concat(*[scored(k, clean, least) for k in KINDS]))
-    return docs.withColumn("pii", spans)
+    return docs.withColumn(out, spans)
 
 
 def joined(spans: Column) -> Column:
@@ -125,10 +125,10 @@ def of_kind(spans: Column, kind: str) -> Column:
 def redact(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` with each span replaced by its kind in angle brackets; spans that overlap an
     earlier one only extend what is removed. Texts without spans, null too, stay as they are."""
-    found = find_pii(docs, text, least)
+    found = find_pii(docs, text, least, "__pii")
     t = F.col(text).cast("string")
     done = F.aggregate(
-        F.col("pii"),
+        F.col("__pii"),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
@@ -139,4 +139,4 @@ def redact(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame
         ),
         lambda acc: F.concat(F.concat_ws("", acc["out"]), F.substring(t, acc["at"] + 1, F.char_length(t))),
     )
-    return found.withColumn(text, F.when(F.size("pii") > 0, done).otherwise(t)).drop("pii")
+    return found.withColumn(text, F.when(F.size("__pii") > 0, done).otherwise(t)).drop("__pii")

@@ -96,7 +96,7 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", host_limi
     broadcast or split. Without the text the statistics are written once; with it they are
     taken again in the second pass, which costs less than a second copy of the texts.
     """
-    rated = with_stats(docs.drop("base_failed", "host_rate", "kept"), text, keep_text).withColumn("base_failed", base_failed())
+    rated = with_stats(docs.drop("base_failed", "host_rate", "kept", "host_bad", "host_docs", "host_failed"), text, keep_text).withColumn("base_failed", base_failed())
     if not keep_text:
         rated = written(rated, "quality")
     verdicts = host_verdicts(rated, host, "base_failed", host_limit)

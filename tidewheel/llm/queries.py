@@ -100,6 +100,14 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -110,6 +118,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
     "op9_jaccard": op9_jaccard,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLE = {

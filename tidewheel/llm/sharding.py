@@ -78,9 +78,9 @@ def extendible(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "te
     )
     # each row meets the one leaf on its path: an equi-join per depth that occurs
     depths = [r.depth for r in directory.select("depth").distinct().collect()]  # at most 181 numbers
-    paths = rows.select("*", F.explode(F.array(*[F.lit(d) for d in sorted(depths)] or [F.lit(0)])).alias("d"))
-    out = paths.join(directory, (F.col("d") == F.col("depth")) & (prefix(F.col("d")) == F.col("shard")))
-    return out.drop("d", "h0", "h1", "h2"), directory
+    paths = rows.select("*", F.explode(F.array(*[F.lit(d) for d in sorted(depths)] or [F.lit(0)])).alias("__d"))
+    out = paths.join(directory, (F.col("__d") == F.col("depth")) & (prefix(F.col("__d")) == F.col("shard")))
+    return out.drop("__d", "h0", "h1", "h2"), directory
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
