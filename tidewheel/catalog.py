@@ -1,4 +1,404 @@
-"""Registered queries of the series engine, with the SQL they must match."""
+"""Registered queries of the series engine, with the SQL they must match.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+Outputs are rounded to four places on both sides; frames have odd lengths so that means of
+two-decimal data don't fall on rounding ties.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.expr import to_column
+from .operators import accumulate as acc
+from .operators import likelihood as ll
+from .operators.grouping import discover_groups, group_list, grouped_aggregation
+from .operators.kernels import Binned, Constant, Exponential, GaussianState, Instantaneous, Kernel, Periodic, Product, TDistributionState
+from .operators.regression import ols
+from .operators.rolling import rolling_covariance, rolling_mean, rolling_variance
+from .series import ID, STEP, TIME, DataRef, embeddings_by_label, events_by_type, events_by_user, lineitem_by_supplier, orders_by_customer, read_table, replace_partition, to_long, to_series, to_wide
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def r4(c) -> F.Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 4)
+
+
+def shown(df: DataFrame, *cols: str) -> DataFrame:
+    return df.select(ID, STEP, *[r4(c).alias(c) for c in cols])
+
+
+# SQL of the series
+USER = """u AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, epoch_us(ts) / 1e6 AS time, value FROM events)"""
+KIND = USER.replace("user_id", "event_type")
+CUST = """u AS (SELECT o_custkey AS series_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS step, epoch_us(o_orderdate) / 1e6 AS time, o_totalprice AS price FROM orders)"""
+SUPP = """u AS (SELECT l_suppkey AS series_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS step, epoch_us(l_shipdate) / 1e6 AS time, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount FROM lineitem)"""
+EMB = """u AS (SELECT label AS series_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS step, vec_id::DOUBLE AS time, embedding[1]::DOUBLE AS e0, embedding[2]::DOUBLE AS e1, embedding[3]::DOUBLE AS e2, embedding[4]::DOUBLE AS e3 FROM embeddings)"""
+DEPTH, DAY = 6, 86400.0
+
+# --- projection, selection, storage ------------------------------------------------------
+
+
+@query("project_gather", f"WITH {SUPP} SELECT series_id, step, price AS a, quantity AS b FROM u")
+def _(spark, d):
+    return lineitem_by_supplier(spark, d).select(ID, STEP, F.col("price").alias("a"), F.col("quantity").alias("b"))
+
+
+@query("slice_time_range", f"WITH {USER} SELECT series_id, step, round(value, 4) AS value FROM u WHERE step >= 5 AND step < 20")
+def _(spark, d):
+    long = to_long(events_by_user(spark, d), {"p": ["value"]})
+    return shown(DataRef("p", steps=(5, 20)).read(long, 1).withColumnRenamed("p 0", "value"), "value")
+
+
+@query("every_n_steps", f"WITH {USER} SELECT series_id, step, round(value, 4) AS value FROM u WHERE step % 7 = 0")
+def _(spark, d):
+    return shown(acc.every_n(events_by_user(spark, d), 7), "value")
+
+
+@query("only_given_partitions", f"WITH {SUPP} SELECT series_id, step, partition_name, x FROM (SELECT series_id, step, 'money' AS partition_name, price AS x FROM u UNION ALL SELECT series_id, step, 'rate', discount FROM u)")
+def _(spark, d):
+    long = to_long(lineitem_by_supplier(spark, d), {"amount": ["quantity"], "money": ["price"], "rate": ["discount"]})
+    return acc.only_partitions(long, ["money", "rate"]).select(ID, STEP, "partition_name", F.element_at("state", 1).alias("x"))
+
+
+@query("until_time", f"WITH {USER}, l AS (SELECT *, lag(time) OVER (PARTITION BY series_id ORDER BY step) AS p FROM u) SELECT series_id, step, round(value, 4) AS value FROM l WHERE p IS NULL OR p < 1704672000")
+def _(spark, d):
+    return shown(acc.until_time(events_by_user(spark, d), 1704672000.0), "value")
+
+
+@query("storage_long", f"WITH {SUPP} SELECT series_id, step, 'a' AS partition_name, quantity AS x0, price AS x1 FROM u UNION ALL SELECT series_id, step, 'b', discount, NULL FROM u")
+def _(spark, d):
+    long = to_long(lineitem_by_supplier(spark, d), {"a": ["quantity", "price"], "b": ["discount"]})
+    return long.select(ID, STEP, "partition_name", F.get("state", F.lit(0)).alias("x0"), F.get("state", F.lit(1)).alias("x1"))
+
+
+@query("storage_wide_pivot", f"WITH {USER} SELECT series_id, step, round(value, 4) AS a, round(2 * value, 4) AS b FROM u")
+def _(spark, d):
+    df = events_by_user(spark, d).withColumn("twice", 2 * F.col("value"))
+    wide = to_wide(to_long(df, {"a": ["value"], "b": ["twice"]}), ["a", "b"])
+    return wide.select(ID, STEP, r4(F.element_at("a", 1)).alias("a"), r4(F.element_at("b", 1)).alias("b"))
+
+
+@query("storage_union", f"WITH {USER} SELECT partition_name, count(*) AS n, round(sum(x), 4) AS total FROM (SELECT 'a' AS partition_name, value AS x FROM u UNION ALL SELECT 'b', value * value FROM u) GROUP BY partition_name")
+def _(spark, d):
+    df = events_by_user(spark, d)
+    long = to_long(df, {"a": ["value"], "b": ["value"]})
+    square = to_long(df.withColumn("s", F.col("value") * F.col("value")), {"b": ["s"]}).drop("partition_name")
+    return replace_partition(long, "b", square).groupBy("partition_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.element_at("state", 1)), 4).alias("total"))
+
+
+@query("lag_copy", f"WITH {SUPP} SELECT series_id, step, lag(quantity) OVER w AS quantity_1, lag(price) OVER w AS price_1 FROM u WINDOW w AS (PARTITION BY series_id ORDER BY step)")
+def _(spark, d):
+    return acc.lagged(lineitem_by_supplier(spark, d), {"quantity_1": "quantity", "price_1": "price"}).select(ID, STEP, "quantity_1", "price_1")
+
+
+@query("first_difference", f"WITH {USER} SELECT series_id, step, round(value - lag(value) OVER (PARTITION BY series_id ORDER BY step), 4) AS value_diff FROM u")
+def _(spark, d):
+    return shown(acc.first_difference(events_by_user(spark, d), ["value"]), "value_diff")
+
+
+@query("same_step_join", f"WITH {KIND}, a AS (SELECT * FROM u WHERE series_id = 'click'), b AS (SELECT * FROM u WHERE series_id = 'view') SELECT a.step, round(a.value, 4) AS x, round(b.value, 4) AS y FROM a JOIN b ON a.step = b.step")
+def _(spark, d):
+    df = events_by_type(spark, d)
+    pick = lambda t, c: df.where(F.col(ID) == t).select(STEP, r4("value").alias(c))
+    return pick("click", "x").join(pick("view", "y"), STEP)
+
+
+# --- rolling -----------------------------------------------------------------------------
+
+
+def _pairs(base: str, w: str, name: str, cols: tuple[str, ...], agg: str = "sum(w * b.{c}) / sum(w)") -> str:
+    """The self-join form of a kernel mean. w is a weight over rows a (latest) and b."""
+    sums = ", ".join(f"CASE WHEN any_value(step) >= {DEPTH} THEN round({agg.format(c=c).replace('b.', 'b_')}, 4) ELSE 0 END AS {c}{name}" for c in cols)
+    picks = ", ".join(f"b.{c} AS b_{c}" for c in cols)
+    return f"WITH {base}, j AS (SELECT a.series_id, a.step, a.step - b.step AS i, ({w})::DOUBLE AS w, {picks} FROM u a JOIN u b ON a.series_id = b.series_id AND b.step BETWEEN a.step - {DEPTH} AND a.step) SELECT series_id, step, {sums} FROM j GROUP BY series_id, step"
+
+
+def _mean(kernel: Kernel, **options) -> Callable:
+    return lambda spark, d: shown(rolling_mean(events_by_user(spark, d), ["value"], DEPTH, kernel, **options), "value_mean")
+
+
+_W = f"OVER (PARTITION BY series_id ORDER BY step ROWS BETWEEN {DEPTH} PRECEDING AND CURRENT ROW)"
+
+
+@query("rolling_mean_constant", f"WITH {SUPP} SELECT series_id, step, CASE WHEN step >= {DEPTH} THEN round(avg(quantity) {_W}, 4) ELSE 0 END AS quantity_mean, CASE WHEN step >= {DEPTH} THEN round(avg(price) {_W}, 4) ELSE 0 END AS price_mean FROM u")
+def _(spark, d):
+    return shown(rolling_mean(lineitem_by_supplier(spark, d), ["quantity", "price"], DEPTH, Constant()), "quantity_mean", "price_mean")
+
+
+@query("rolling_var_constant", f"WITH {SUPP} SELECT series_id, step, CASE WHEN step >= {DEPTH} THEN round(var_samp(quantity) {_W}, 4) ELSE 0 END AS quantity_var FROM u")
+def _(spark, d):
+    return shown(rolling_variance(lineitem_by_supplier(spark, d), ["quantity"], DEPTH, Constant()), "quantity_var")
+
+
+@query("rolling_cov_constant", f"WITH {SUPP} SELECT series_id, step, " + ", ".join(f"CASE WHEN step >= {DEPTH} THEN round(covar_samp({a}, {b}) {_W}, 4) ELSE 0 END AS cov_{i}_{j}" if i <= j else f"0.0::DOUBLE AS cov_{i}_{j}" for i, a in enumerate(("quantity", "discount")) for j, b in enumerate(("quantity", "discount"))) + " FROM u")
+def _(spark, d):
+    return shown(rolling_covariance(lineitem_by_supplier(spark, d), ["quantity", "discount"], DEPTH, Constant()), "cov_0_0", "cov_0_1", "cov_1_0", "cov_1_1")
+
+
+QUERIES["rolling_mean_exponential"] = lambda spark, d: shown(rolling_mean(lineitem_by_supplier(spark, d), ["quantity", "price"], DEPTH, Exponential(30 * DAY)), "quantity_mean", "price_mean")
+ORACLE["rolling_mean_exponential"] = _pairs(SUPP, f"exp((b.time - a.time) / {30 * DAY})", "_mean", ("quantity", "price"))
+QUERIES["rolling_mean_periodic"] = _mean(Periodic(1.5))
+ORACLE["rolling_mean_periodic"] = _pairs(USER, "exp(-2 * power(sin((a.time - b.time) / 2), 2) / 2.25)", "_mean", ("value",))
+QUERIES["rolling_mean_binned"] = _mean(Binned([1.0, 0.55, 0.3, 0.17] + [0.09] * 396, DAY))
+ORACLE["rolling_mean_binned"] = _pairs(USER, f"CASE WHEN a.time - b.time < {DAY} THEN 1 WHEN a.time - b.time < {2 * DAY} THEN 0.55 WHEN a.time - b.time < {3 * DAY} THEN 0.3 WHEN a.time - b.time < {4 * DAY} THEN 0.17 ELSE 0.09 END", "_mean", ("value",))
+QUERIES["rolling_mean_instantaneous"] = _mean(Instantaneous())
+ORACLE["rolling_mean_instantaneous"] = _pairs(USER, "CASE WHEN a.time = b.time THEN 1 ELSE 0 END", "_mean", ("value",))
+QUERIES["rolling_mean_gaussian_state"] = _mean(GaussianState([400.0]))
+ORACLE["rolling_mean_gaussian_state"] = _pairs(USER, "exp(-0.5 * power(a.value - b.value, 2) / 400) / 400", "_mean", ("value",))
+QUERIES["rolling_mean_t_state"] = _mean(TDistributionState([400.0], 3.0))
+ORACLE["rolling_mean_t_state"] = _pairs(USER, "power(1 + power(a.value - b.value, 2) / 1200, -2.0) / 400", "_mean", ("value",))
+QUERIES["rolling_mean_product"] = _mean(Product(Exponential(20 * DAY), GaussianState([400.0])))
+ORACLE["rolling_mean_product"] = _pairs(USER, f"exp((b.time - a.time) / {20 * DAY}) * exp(-0.5 * power(a.value - b.value, 2) / 400) / 400", "_mean", ("value",))
+QUERIES["kernel_density_sum"] = _mean(GaussianState([100.0]), function="unit_value", normalise=False)
+ORACLE["kernel_density_sum"] = _pairs(USER, "exp(-0.5 * power(a.value - b.value, 2) / 100) / 100", "_mean", ("value",), "sum(w)")
+QUERIES["past_discounted_mean"] = _mean(Exponential(20 * DAY), function="past_discounted_data_values", discount=0.9)
+ORACLE["past_discounted_mean"] = _pairs(USER, f"exp((b.time - a.time) / {20 * DAY})", "_mean", ("value",), "sum(w * power(0.9::DOUBLE, i) * b.{c}) / sum(w)")
+QUERIES["subtracted_mean"] = _mean(Exponential(20 * DAY), subtract=0.25)
+ORACLE["subtracted_mean"] = _pairs(USER, f"exp((b.time - a.time) / {20 * DAY})", "_mean", ("value",), "sum(w * b.{c}) / (sum(w) - 0.25)")
+
+
+@query("rolling_mean_deep", _pairs(KIND, f"exp((b.time - a.time) / {DAY})", "_mean", ("value",)).replace(f"a.step - {DEPTH}", "a.step - 30").replace(f">= {DEPTH}", ">= 30"))
+def _(spark, d):
+    return shown(rolling_mean(events_by_type(spark, d), ["value"], 30, Exponential(DAY)), "value_mean")
+
+
+@query("rolling_var_exponential", f"WITH {USER}, j AS (SELECT a.series_id, a.step, exp((b.time - a.time) / {20 * DAY}) AS w, b.value AS v FROM u a JOIN u b ON a.series_id = b.series_id AND b.step BETWEEN a.step - {DEPTH} AND a.step), m AS (SELECT series_id, step, sum(w * v) / sum(w) AS m FROM j GROUP BY 1, 2) SELECT series_id, step, CASE WHEN any_value(step) >= {DEPTH} THEN round(sum(w * (v - m) * (v - m)) / (sum(w) - 1), 4) ELSE 0 END AS value_var FROM j JOIN m USING (series_id, step) GROUP BY series_id, step")
+def _(spark, d):
+    return shown(rolling_variance(events_by_user(spark, d), ["value"], DEPTH, Exponential(20 * DAY)), "value_var")
+
+
+@query("rolling_cov_exponential", f"WITH {SUPP}, j AS (SELECT a.series_id, a.step, exp((b.time - a.time) / {30 * DAY}) AS w, b.quantity AS x, b.discount AS y FROM u a JOIN u b ON a.series_id = b.series_id AND b.step BETWEEN a.step - {DEPTH} AND a.step), m AS (SELECT series_id, step, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM j GROUP BY 1, 2) SELECT series_id, step, CASE WHEN any_value(step) >= {DEPTH} THEN round(sum(w * (x - mx) * (y - my)) / (sum(w) - 1), 4) ELSE 0 END AS cov_0_1 FROM j JOIN m USING (series_id, step) GROUP BY series_id, step")
+def _(spark, d):
+    return shown(rolling_covariance(lineitem_by_supplier(spark, d), ["quantity", "discount"], DEPTH, Exponential(30 * DAY)), "cov_0_1")
+
+
+@query("embedding_rolling_cov", f"WITH {EMB} SELECT series_id, step, " + ", ".join(f"CASE WHEN step >= {DEPTH} THEN round(covar_samp(e{i}, e{j}) {_W}, 4) ELSE 0 END AS cov_{i}_{j}" for i in range(4) for j in range(i, 4)) + " FROM u")
+def _(spark, d):
+    return shown(rolling_covariance(embeddings_by_label(spark, d), [f"e{i}" for i in range(4)], DEPTH, Constant()), *[f"cov_{i}_{j}" for i in range(4) for j in range(i, 4)])
+
+
+# --- grouping ----------------------------------------------------------------------------
+
+
+def _flags(spark, d):
+    df = read_table(spark, d, "lineitem")
+    code = F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "N", 2.0).otherwise(3.0)
+    return to_series(df, F.col("l_suppkey"), ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"], F.lit(0.0), {"quantity": F.col("l_quantity"), "price": F.col("l_extendedprice"), "flag": code, "tax": F.round(F.col("l_tax") * 100)})
+
+
+FLAG = """u AS (SELECT l_suppkey AS series_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS step, l_quantity AS quantity, l_extendedprice AS price, CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 2.0 ELSE 3.0 END::DOUBLE AS flag, round(l_tax * 100) AS tax FROM lineitem)"""
+_GROUPS = "g AS (SELECT unnest([1, 2, 3]) AS k)"
+
+
+def _grouped(name: str, depth: int, sql: str):
+    frame = f"OVER (PARTITION BY series_id, k ORDER BY step ROWS BETWEEN {depth} PRECEDING AND CURRENT ROW)"
+    ORACLE[f"grouped_{name}" if not depth else f"grouped_rolling_{name}"] = f"WITH {FLAG}, {_GROUPS}, c AS (SELECT series_id, step, k, CASE WHEN flag = k THEN quantity END AS x FROM u, g) SELECT series_id, step, k AS key, CASE WHEN step >= 1 THEN round(coalesce({sql}(x) {frame}, 0), 4) ELSE 0 END AS value FROM c"
+    QUERIES[f"grouped_{name}" if not depth else f"grouped_rolling_{name}"] = lambda spark, d: grouped_aggregation(
+        _flags(spark, d), ["quantity"], [["flag"]], name, depth=depth, groups=[[1], [2], [3]]
+    ).select(ID, STEP, F.element_at("key", 1).cast("int").alias("key"), r4("value").alias("value"))
+
+
+for _name, _sql in (("count", "count"), ("sum", "sum"), ("mean", "avg"), ("min", "min"), ("max", "max")):
+    _grouped(_name, 0, _sql)
+    _grouped(_name, DEPTH, _sql)
+
+
+@query("grouped_two_keys", f"WITH {FLAG} SELECT flag AS k0, tax AS k1, count(*) AS n, round(sum(quantity), 4) AS total FROM u WHERE step >= 1 GROUP BY flag, tax")
+def _(spark, d):
+    df, keys = _flags(spark, d), [["flag"], ["tax"]]
+    groups = group_list(df, keys, 0)
+    got, n = (grouped_aggregation(df, ["quantity"], keys, a, groups=groups) for a in ("sum", "count"))
+    both = got.withColumn("n", F.lit(0.0)).unionByName(n.withColumnRenamed("value", "n").withColumn("value", F.lit(0.0)))
+    return both.groupBy("key").agg(F.sum("n").cast("long").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.element_at("key", 1).alias("k0"), F.element_at("key", 2).alias("k1"), "n", "total")
+
+
+@query("group_discovery", f"WITH {FLAG}, f AS (SELECT flag, tax, min((step, series_id)) AS first FROM u GROUP BY flag, tax) SELECT flag AS k0, tax AS k1, CAST(row_number() OVER (ORDER BY first) - 1 AS INTEGER) AS group_idx FROM f")
+def _(spark, d):
+    return discover_groups(_flags(spark, d), [["flag"], ["tax"]], 0).select(F.element_at("key", 1).alias("k0"), F.element_at("key", 2).alias("k1"), "group_idx")
+
+
+# --- regression, accumulation, collections -----------------------------------------------
+
+_OLS_SUMS = "sum(CASE WHEN step >= 1 THEN {v} END)"
+
+
+def _ols_sql(intercept: bool, window: int | None) -> str:
+    f = f"OVER (PARTITION BY series_id ORDER BY step ROWS BETWEEN {'UNBOUNDED' if window is None else window - 1} PRECEDING AND CURRENT ROW)"
+    s = {"n": "1.0::DOUBLE", "sx": "x", "sy": "y", "sxx": "x * x", "sxy": "x * y", "syy": "y * y"}
+    sums = ", ".join(f"coalesce({_OLS_SUMS.format(v=v)} {f}, 0) AS {k}" for k, v in s.items())
+    base = f"WITH {SUPP}, v AS (SELECT series_id, step, quantity AS x, price / 977 AS y FROM u), s AS (SELECT series_id, step, {sums} FROM v), "
+    if not intercept:
+        return base + "b AS (SELECT *, CASE WHEN sxx > 1e-12 THEN sxy / sxx ELSE 0 END AS beta FROM s) SELECT series_id, step, round(beta, 4) AS beta, CASE WHEN n >= 2 AND sxx > 1e-12 THEN round(greatest(0, syy - beta * sxy) / (n - 1), 4) ELSE 0 END AS sigma2 FROM b"
+    return base + "b AS (SELECT *, abs(n * sxx - sx * sx) > 1e-12 AND n >= 2 AS good, CASE WHEN abs(n * sxx - sx * sx) > 1e-12 AND n >= 2 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) ELSE 0 END AS beta FROM s), a AS (SELECT *, CASE WHEN n > 0 THEN (sy - beta * sx) / n ELSE 0 END AS alpha FROM b) SELECT series_id, step, round(alpha, 4) AS alpha, round(beta, 4) AS beta, CASE WHEN good AND n >= 3 THEN round(greatest(0, syy - alpha * sy - beta * sxy) / (n - 2), 4) ELSE 0 END AS sigma2 FROM a"
+
+
+for _i, _w in ((False, None), (True, None), (False, 50), (True, 50)):
+    _name = f"ols_{'cumulative' if _w is None else 'window'}_{'intercept' if _i else 'origin'}"
+    ORACLE[_name] = _ols_sql(_i, _w)
+    QUERIES[_name] = lambda spark, d, i=_i, w=_w: shown(
+        ols(lineitem_by_supplier(spark, d).withColumn("y", F.col("price") / 977), "y", "quantity", intercept=i, window=w), *(["alpha"] if i else []), "beta", "sigma2"
+    )
+
+
+@query("cumulative_sum", f"WITH {CUST} SELECT series_id, step, round(coalesce(sum(CASE WHEN step >= 1 THEN price END) OVER (PARTITION BY series_id ORDER BY step), 0), 4) AS price_cum FROM u")
+def _(spark, d):
+    return shown(acc.cumulative(orders_by_customer(spark, d), ["price"]), "price_cum")
+
+
+@query("discounted_cumulative", f"WITH {USER} SELECT a.series_id, a.step, round(coalesce(sum(power(0.8773219::DOUBLE, a.step - b.step) * b.value), 0), 4) AS value_dis FROM u a LEFT JOIN u b ON a.series_id = b.series_id AND b.step BETWEEN 1 AND a.step GROUP BY a.series_id, a.step")
+def _(spark, d):
+    return shown(acc.discounted_cumulative(events_by_user(spark, d), "value", 0.8773219), "value_dis")
+
+
+@query("topk_running", f"WITH {CUST}, j AS (SELECT a.series_id, a.step, b.price, row_number() OVER (PARTITION BY a.series_id, a.step ORDER BY b.price DESC, b.step) AS k FROM u a JOIN u b ON a.series_id = b.series_id AND b.step BETWEEN 1 AND a.step) SELECT series_id, step, max(price) FILTER (WHERE k = 1) AS top_1, max(price) FILTER (WHERE k = 2) AS top_2, max(price) FILTER (WHERE k = 3) AS top_3 FROM j WHERE k <= 3 GROUP BY series_id, step UNION ALL SELECT series_id, step, NULL, NULL, NULL FROM u WHERE step = 0")
+def _(spark, d):
+    df = acc.running_top(orders_by_customer(spark, d), "price", [TIME], 3)
+    return df.select(ID, STEP, *[F.get("top", F.lit(i))["key"].alias(f"top_{i + 1}") for i in range(3)])
+
+
+@query("topk_elite_mean", f"WITH {CUST}, j AS (SELECT a.series_id, a.step, b.price, row_number() OVER (PARTITION BY a.series_id, a.step ORDER BY b.price DESC, b.step) AS k FROM u a JOIN u b ON a.series_id = b.series_id AND b.step BETWEEN 1 AND a.step) SELECT series_id, step, round(sum(price * (4 - k)) / sum(4 - k), 4) AS elite FROM j WHERE k <= 3 GROUP BY series_id, step")
+def _(spark, d):
+    df = acc.running_top(orders_by_customer(spark, d), "price", [], 3).where(F.size("top") > 0)
+    weighted = F.aggregate("top", F.struct(F.lit(3.0).alias("w"), F.lit(0.0).alias("s"), F.lit(0.0).alias("t")), lambda a, e: F.struct((a["w"] - 1).alias("w"), (a["s"] + a["w"] * e["key"]).alias("s"), (a["t"] + a["w"]).alias("t")), lambda a: a["s"] / a["t"])
+    return df.select(ID, STEP, r4(weighted).alias("elite"))
+
+
+@query("event_switch", "WITH v AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM events) SELECT user_id AS series_id, step, round(CASE event_type WHEN 'click' THEN value * 2 WHEN 'view' THEN -value ELSE 0 END, 4) AS value FROM v")
+def _(spark, d):
+    code = F.when(F.col("event_type") == "click", 1.0).when(F.col("event_type") == "view", 2.0).otherwise(0.0)
+    df = to_series(read_table(spark, d, "events"), F.col("user_id"), ["ts", "event_id"], F.lit(0.0), {"value": F.col("value"), "code": code})
+    return shown(df.withColumn("value", acc.event_switch(F.col("code"), {1.0: 2 * F.col("value"), 2.0: -F.col("value")}, F.lit(0.0))), "value")
+
+
+@query("fifo_queue")
+def _(spark, d):
+    df = events_by_user(spark, d).withColumn("push", F.when(F.col(STEP) % 2 == 1, F.col("value")).otherwise(-1.0)).withColumn("pop", (F.col(STEP) % 2 == 0).cast("int"))
+    return acc.fifo(df, 3, "push", "pop").select(ID, STEP, F.element_at("queue", 1).alias("popped"))
+
+
+ORACLE["fifo_queue"] = f"WITH {USER} SELECT series_id, step, CASE WHEN step < 2 THEN -1.0 ELSE lag(value, CASE WHEN step % 2 = 0 THEN 1 ELSE 2 END) OVER (PARTITION BY series_id ORDER BY step) END AS popped FROM u"
+
+# --- expressions -------------------------------------------------------------------------
+
+
+def _lines(spark, d):
+    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("c"))
+
+
+def _expr(name: str, sql: str, **outs: str):
+    ORACLE[name] = "SELECT l_orderkey, l_linenumber, l_partkey, " + sql + " FROM (SELECT *, l_quantity AS q, l_extendedprice AS p, l_discount AS c FROM lineitem)"
+    QUERIES[name] = lambda spark, d: _lines(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", *[r4(to_column(t, {k: k for k in "qpc"})).alias(o) for o, t in outs.items()])
+
+
+_expr("expr_elementwise", "round(p * (1 - c) / (q + 0.123457), 4) AS a, round(p % 7 - 2 + 3 * 4, 4) AS b, ((q > 10 AND c < 0.05) OR NOT (p >= 100))::INT::DOUBLE AS l", a="p * (1 - c) / (q + 0.123457)", b="p % 7 - 2 + 3 * 4", l="q > 10 && c < 0.05 || !(p >= 100)")
+_expr("expr_where_clamp", "round(CASE WHEN q > 25 THEN p / 2 ELSE -p END, 4) AS a, greatest(least(q, 30), 10) AS b, round(least(q, c * 100) + greatest(q, 5), 4) AS m", a="where(q > 25, p / 2, -p)", b="clamp(q, 10, 30)", m="min(q, c * 100) + max(q, 5)")
+_expr("expr_each_scan", "round(q * (0 + 1 + 4 + 9), 4) AS a, round(q + 6 * c, 4) AS b, round(power(q, 3), 4) AS s", a="sum(each(4, i, q * i * i))", b="scan(4, i, acc, q, acc + c * i)", s="scan(2, i, acc, q, acc * q)")
+_expr("expr_trig", "round(sin(q) * cos(c) + tan(c), 4) AS a, round(atan2(q, p) + asin(c) + acos(c) + atan(q), 4) AS b, round(exp(-c) + ln(p) + sqrt(q) + abs(-q) + floor(p), 4) AS e", a="sin(q) * cos(c) + tan(c)", b="atan2(q, p) + asin(c) + acos(c) + atan(q)", e="exp(-c) + log(p) + sqrt(q) + abs(-q) + floor(p)")
+_expr("expr_vectors", "round(q * p + p * c + c * q, 4) AS d, round(p + 2 * c, 4) AS s, 5.0::DOUBLE AS w, round(c, 4) AS i", d="dot(concat(q, p, c), concat(p, c, q))", s="sum(slice(concat(q, p, c, c), 1, 3))", w="width(concat(fill(3, q), p, c))", i="concat(q, p, c)[2]")
+
+
+@query("expr_slice_concat_dot", "SELECT vec_id, round(list_sum(list_transform(range(1, 9), lambda i: embedding[i]::DOUBLE * embedding[i + 8]::DOUBLE)), 4) AS d, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 4) AS l1 FROM embeddings")
+def _(spark, d):
+    df = read_table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    return df.select("vec_id", r4(to_column("dot(slice(v, 0, 8), slice(v, 8, 8))", vectors={"v": "v"})).alias("d"), r4(to_column("sum(abs(v))", vectors={"v": "v"})).alias("l1"))
+
+
+@query("expr_lag", f"WITH {USER} SELECT series_id, step, round(value - 2 * lag(value, 1) OVER w + lag(value, 2) OVER w, 4) AS x FROM u WINDOW w AS (PARTITION BY series_id ORDER BY step)")
+def _(spark, d):
+    from .series import by_step
+
+    df = events_by_user(spark, d)
+    return df.select(ID, STEP, r4(to_column("x - 2 * lag(x, 1) + lag(x, 2)", {"x": "value"}, window=by_step())).alias("x"))
+
+
+# --- likelihoods and posteriors ----------------------------------------------------------
+
+
+def _ll(name: str, likelihood, x: str, sql: str):
+    QUERIES[name] = lambda spark, d: read_table(spark, d, "events").select("event_id", r4(likelihood().loglike([F.expr(x)])).alias("loglike"))
+    ORACLE[name] = f"WITH e AS (SELECT event_id, ({x})::DOUBLE AS x FROM events) SELECT event_id, round({sql}, 4) AS loglike FROM e"
+
+
+_ll("loglik_normal", lambda: ll.Normal([50.0], [400.0]), "value", f"-0.5 * ({math.log(2 * math.pi)!r} + ln(400.0::DOUBLE) + (x - 50) * (x - 50) / 400)")
+_ll("loglik_poisson", lambda: ll.Poisson([30.0]), "floor(abs(value))", "x * ln(30.0::DOUBLE) - 30 - lgamma(x + 1)")
+_ll("loglik_gamma", lambda: ll.Gamma([40.0], [800.0]), "abs(value) + 1", "2 * ln(0.05::DOUBLE) - lgamma(2.0) + ln(x) - 0.05 * x")
+_ll("loglik_negbin", lambda: ll.NegativeBinomial([20.0], [50.0]), "floor(abs(value))", "lgamma(400.0 / 30 + x) - lgamma(x + 1) - lgamma((400.0 / 30)::DOUBLE) + 400.0 / 30 * ln(0.4::DOUBLE) + x * ln(0.6::DOUBLE)")
+_ll("loglik_beta", lambda: ll.Beta([2.0], [3.0]), "(1 + abs(value)) / (2 + 2 * abs(value) + abs(value))", "ln(x) + 2 * ln(1 - x) + ln(12.0::DOUBLE)")
+_ll("loglik_t", lambda: ll.StudentT([50.0], [400.0], 4.0), "value", "lgamma(2.5) - lgamma(2.0) - 0.5 * ln(4 * pi() * 400) - 2.5 * ln(1 + (x - 50) * (x - 50) / 1600)")
+
+
+@query("rolling_loglik", f"WITH {USER}, l AS (SELECT *, -0.5 * ({math.log(2 * math.pi)!r} + ln(400.0::DOUBLE) + (value - 50) * (value - 50) / 400) AS x FROM u) SELECT series_id, step, CASE WHEN step >= 6 THEN round(sum(x) OVER (PARTITION BY series_id ORDER BY step ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) ELSE 0 END AS loglike FROM l")
+def _(spark, d):
+    return shown(ll.rolling_loglike(events_by_user(spark, d), ll.Normal([50.0], [400.0]), ["value"], 7), "loglike")
+
+
+@query("data_comparison_cumulative", f"WITH {USER}, l AS (SELECT *, CASE WHEN step >= 3 THEN -0.5 * ({math.log(2 * math.pi)!r} + ln(400.0::DOUBLE) + (value - 50) * (value - 50) / 400) ELSE 0 END AS x FROM u) SELECT series_id, step, round(sum(x) OVER (PARTITION BY series_id ORDER BY step), 4) AS loglike FROM l")
+def _(spark, d):
+    return shown(ll.data_comparison(events_by_user(spark, d), ll.Normal([50.0], [400.0]), ["value"], cumulative=True, burn_in=3), "loglike")
+
+
+@query("mean_gradient", f"WITH {USER} SELECT series_id, step, round(avg((value - 50) / 397) {_W}, 4) AS grad_0 FROM u")
+def _(spark, d):
+    return shown(ll.data_comparison_gradient(events_by_user(spark, d), ll.Normal([50.0], [397.0]), ["value"], DEPTH + 1), "grad_0")
+
+
+@query("log_sum_exp", "WITH c AS (SELECT c_mktsegment, c_acctbal / 1000 AS x, max(c_acctbal / 1000) OVER (PARTITION BY c_mktsegment) AS m FROM customer) SELECT c_mktsegment, round(any_value(m) + ln(sum(exp(x - m))), 4) AS log_sum_exp FROM c GROUP BY c_mktsegment")
+def _(spark, d):
+    df = read_table(spark, d, "customer").withColumn("x", F.col("c_acctbal") / 1000)
+    return ll.log_sum_exp(df, "x", ["c_mktsegment"]).select("c_mktsegment", r4("log_sum_exp").alias("log_sum_exp"))
+
+
+@query("posterior_moments", "WITH c AS (SELECT c_mktsegment AS k, c_acctbal / 1000 AS x, c_nationkey::DOUBLE AS y, exp(-power(c_acctbal / 1000 - 4, 2) / 8) AS w FROM customer), m AS (SELECT k, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM c GROUP BY k) SELECT k AS c_mktsegment, round(any_value(mx), 4) AS mean_0, round(any_value(my), 4) AS mean_1, round(sum(w * (x - mx) * (x - mx)) / sum(w), 4) AS cov_0_0, round(sum(w * (x - mx) * (y - my)) / sum(w), 4) AS cov_0_1, round(sum(w * (y - my) * (y - my)) / sum(w), 4) AS cov_1_1, round(ln(sum(w) / count(*)), 4) AS log_marginal FROM c JOIN m USING (k) GROUP BY k")
+def _(spark, d):
+    df = read_table(spark, d, "customer").select("c_mktsegment", (F.col("c_acctbal") / 1000).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    df = df.withColumn("l", -F.pow(F.col("x") - 4, 2.0) / 8)
+    cols = ("mean_0", "mean_1", "cov_0_0", "cov_0_1", "cov_1_1", "log_marginal")
+    return ll.posterior_moments(df, ["x", "y"], "l", ["c_mktsegment"]).select("c_mktsegment", *[r4(c).alias(c) for c in cols])
+
+
+@query("weighted_quantiles", "WITH p AS (SELECT c_mktsegment, c_acctbal, sum(c_nationkey + 1) AS w FROM customer GROUP BY 1, 2), c AS (SELECT *, sum(w) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) AS c, sum(w) OVER (PARTITION BY c_mktsegment) AS t FROM p) SELECT c_mktsegment, min(c_acctbal) FILTER (WHERE c >= 0.1 * t) AS q0, min(c_acctbal) FILTER (WHERE c >= 0.5 * t) AS q1, min(c_acctbal) FILTER (WHERE c >= 0.9 * t) AS q2 FROM c GROUP BY c_mktsegment")
+def _(spark, d):
+    df = read_table(spark, d, "customer").withColumn("w", F.col("c_nationkey") + 1.0)
+    return ll.weighted_quantiles(df, "c_acctbal", "w", [0.1, 0.5, 0.9], ["c_mktsegment"])
+
+
+@query("posterior_log_normalisation", f"WITH {USER}, j AS (SELECT a.series_id, a.step, b.value / 50 + (a.step - b.step) * ln(0.9::DOUBLE) AS l FROM u a JOIN u b ON a.series_id = b.series_id AND b.step BETWEEN a.step - {DEPTH} AND a.step) SELECT series_id, step, round(ln(sum(exp(l)) * (1 + exp(-1.0::DOUBLE))), 4) AS log_norm FROM j GROUP BY series_id, step")
+def _(spark, d):
+    df = events_by_user(spark, d).withColumn("a", F.col("value") / 50).withColumn("b", F.col("value") / 50 - 1)
+    return shown(ll.posterior_log_normalisation(df, ["a", "b"], DEPTH + 1, 0.9), "log_norm")
+
+
+@query("weighted_resampling", f"WITH {USER}, j AS (SELECT a.series_id, a.step, a.step - b.step AS i, b.value, exp(b.value / 50) * power(0.9::DOUBLE, a.step - b.step) AS w FROM u a JOIN u b ON a.series_id = b.series_id AND b.step BETWEEN a.step - {DEPTH} AND a.step), c AS (SELECT *, sum(w) OVER (PARTITION BY series_id, step ORDER BY i) AS c, sum(w) OVER (PARTITION BY series_id, step) AS t FROM j) SELECT series_id, step, round(arg_min(value, i) FILTER (WHERE c >= ((step % 7 + 0.5) / 7)::DOUBLE * t), 4) AS resampled FROM c GROUP BY series_id, step")
+def _(spark, d):
+    df = events_by_user(spark, d).withColumn("l", F.col("value") / 50)
+    return shown(acc.weighted_resample(df, ["l"], ["value"], DEPTH, 0.9, (F.col(STEP) % 7 + 0.5) / 7), "resampled")
+
+
+@query("hawkes_intensity", f"WITH {KIND}, j AS (SELECT a.series_id, a.step, sum(exp((b.time - a.time) / 3600)) AS s FROM u a JOIN u b ON a.series_id = b.series_id AND b.step BETWEEN a.step - {DEPTH} AND a.step - 1 GROUP BY 1, 2) SELECT u.series_id, u.step, round(0.5 + coalesce(s, 0), 4) AS intensity FROM u LEFT JOIN j USING (series_id, step)")
+def _(spark, d):
+    from .operators.processes import recorded_intensity
+
+    return shown(recorded_intensity(events_by_type(spark, d), 0.5, Exponential(3600.0), DEPTH), "intensity")
+
+
+# --- simulation and inference (no SQL; pinned by tests) ----------------------------------
+
+from . import simulations  # noqa: E402
+
+QUERIES |= simulations.QUERIES
