@@ -95,7 +95,7 @@ def enkf_filter(spark, d):
 
 
 def evolution(spark, d):
-    return inference.evolution_strategy(spark, lambda a: -((a[0] - 3) ** 2 + (a[1] + 2) ** 2), [0.0, 0.0], np.eye(2), rounds=300, chains=8)
+    return inference.evolution_strategy(spark, lambda a: -((a[0] - 3) ** 2 + (a[1] + 2) ** 2), [0.0, 0.0], 9 * np.eye(2), rounds=600, chains=8, elite=10, learning_rate=0.05)
 
 
 def mean_fit(spark, d):
@@ -127,3 +127,15 @@ QUERIES = {
         posterior_chain, mcts_games, mcts_plan,
     )
 }
+
+
+def _block(model: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        from .operators.paths import paths
+
+        return paths(spark, model, 10_000, 2_000)
+
+    return run
+
+
+QUERIES |= {f"paths_{m}": _block(m) for m in ("gbm", "ou", "compound_poisson", "coupled_ou", "branch")}
