@@ -133,7 +133,7 @@ def test_quality(spark, texts):
 
 def test_sharding(spark, texts):
     rows = [*texts, *((500, "x" * 900) for _ in range(9))]
-    out, directory = sharding.extendible(table(spark, rows), 2000)
+    out, directory = sharding.extendible(table(spark, rows), 2000, step=20)
     got, dirs = out.collect(), {r.shard: r for r in directory.collect()}
     assert len(got) == len(rows)
     for s, d in dirs.items():

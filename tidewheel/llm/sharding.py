@@ -36,7 +36,7 @@ def prefix(depth: Column) -> Column:
     return F.substring(bits, F.lit(1), depth)
 
 
-def extendible(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text", step: int = 4) -> tuple[DataFrame, DataFrame]:
+def extendible(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text", step: int = 6) -> tuple[DataFrame, DataFrame]:
     """The rows with shard (hash prefix), depth and n_bytes, and the directory of shards."""
     made = ("shard", "depth", "n_bytes", "h0", "h1", "h2", "bits", "n_rows", "shard_bytes", "fits")
     base = docs.select(
@@ -54,10 +54,8 @@ def extendible(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "te
         sums = written(
             open_rows.groupBy(prefix(F.lit(deep)).alias("bits")).agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n")), "shard-sums"
         )
-        levels = [sums.groupBy(F.substring("bits", 1, d).alias("bits")).agg(F.sum("b").alias("b"), F.sum("n").alias("n")).withColumn("depth", F.lit(d)) for d in range(depth, deep + 1)]
-        every = levels[0]
-        for x in levels[1:]:
-            every = every.unionByName(x)
+        levels = sums.select("b", "n", "bits", F.explode(F.sequence(F.lit(depth), F.lit(deep))).alias("depth"))
+        every = levels.groupBy("depth", F.substring("bits", F.lit(1), F.col("depth")).alias("bits")).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
         small = (F.col("b") <= limit) | (F.col("n") == 1) | (F.col("depth") == 3 * BITS)
         # a leaf is the first small prefix of its path
         parent = every.where(~small & (F.col("depth") < deep)).select(F.col("bits").alias("p"), F.col("depth").alias("pd"))
@@ -65,7 +63,7 @@ def extendible(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "te
         below = every.where(F.col("depth") > depth).join(
             parent, (F.expr(f"substring(bits, 1, depth - 1)") == F.col("p")) & (F.col("depth") - 1 == F.col("pd")), "leftsemi"
         )
-        found = written(tops.unionByName(below.where(small)), "shard-leaves")
+        found = written(tops.unionByName(below.where(small)).select("bits", "depth", "b", "n"), "shard-leaves")
         leaves = found if leaves is None else leaves.unionByName(found)
         rest = written(below.where(~small & (F.col("depth") == deep)).select("bits"), "shard-open")
         discard(sums)
