@@ -19,7 +19,7 @@ from .operators.grouping import discover_groups, group_list, grouped_aggregation
 from .operators.kernels import Binned, Constant, Exponential, GaussianState, Instantaneous, Kernel, Periodic, Product, TDistributionState
 from .operators.regression import ols
 from .operators.rolling import rolling_covariance, rolling_mean, rolling_variance
-from .series import ID, STEP, TIME, DataRef, embeddings_by_label, events_by_type, events_by_user, lineitem_by_supplier, orders_by_customer, read_table, replace_partition, to_long, to_series, to_wide
+from .series import ID, STEP, TIME, DataRef, embeddings_by_label, events_by_type, events_by_user, lineitem_by_supplier, orders_by_customer, read_table, replace_partition, to_long, to_series, to_wide, validate_aligned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -397,6 +397,58 @@ def _(spark, d):
     return shown(recorded_intensity(events_by_type(spark, d), 0.5, Exponential(3600.0), DEPTH), "intensity")
 
 
+def _grad(name: str, likelihood, x: str, sql: str):
+    QUERIES[name] = lambda spark, d: read_table(spark, d, "events").select("event_id", r4(likelihood().gradient([F.expr(x)])[0]).alias("grad"))
+    ORACLE[name] = f"WITH e AS (SELECT event_id, ({x})::DOUBLE AS x FROM events) SELECT event_id, round({sql}, 4) AS grad FROM e"
+
+
+_grad("gradient_poisson", lambda: ll.Poisson([31.0]), "floor(abs(value))", "x / 31 - 1")
+_grad("gradient_gamma", lambda: ll.Gamma([41.0], [813.0]), "abs(value) + 1", "(x - 41) / 813")
+_grad("gradient_negbin", lambda: ll.NegativeBinomial([20.0], [50.0]), "floor(abs(value))", "x / 20 - (x + 400.0 / 30) / (400.0 / 30 + 20)")
+_grad("gradient_t", lambda: ll.StudentT([50.0], [400.0], 4.0), "value", "0.5 * 5 / (4 + (x - 50) * (x - 50) / 400) * (x - 50) / 400")
+_grad("gradient_beta", lambda: ll.Beta([2.0], [3.0]), "(1 + abs(value)) / (2 + 3 * abs(value))", "5 * (ln(x / (1 - x)) + 0.5)")
+
+
+@query("loglik_wishart", "WITH e AS (SELECT event_id, abs(value) + 1 AS x FROM events) SELECT event_id, round(1.5 * ln(x) - 0.05 * x - 2.5 * ln(2.0::DOUBLE) - 2.5 * ln(10.0::DOUBLE) - lgamma(2.5), 4) AS loglike FROM e")
+def _(spark, d):
+    return read_table(spark, d, "events").select("event_id", r4(ll.Wishart([10.0], 5.0).loglike(F.array(F.abs("value") + 1))).alias("loglike"))
+
+
+@query("loglik_normal_full", "WITH c AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) SELECT vec_id, round(-0.5 * ((2 * x * x - 2 * x * y + 2 * y * y) / 3 + 2 * ln(2 * pi()) + ln(3.0::DOUBLE)), 4) AS loglike FROM c")
+def _(spark, d):
+    x = [F.element_at("embedding", i).cast("double") for i in (1, 2)]
+    return read_table(spark, d, "embeddings").select("vec_id", r4(ll.Normal([0.0, 0.0], covariance=[2.0, 1.0, 1.0, 2.0]).loglike(x)).alias("loglike"))
+
+
+@query("mast_aggregation", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean FROM events GROUP BY event_type")
+def _(spark, d):
+    from .operators.search import mast_table
+
+    return mast_table(read_table(spark, d, "events"), "event_type", "value").select("event_type", "n", r4("total").alias("total"), r4("mean").alias("mean"))
+
+
+@query("history_replay", f"WITH {USER} SELECT a.series_id, a.step, CAST(b.step - greatest(a.step - 2, 0) AS INTEGER) AS at, round(b.value, 4) AS value FROM u a JOIN u b ON a.series_id = b.series_id AND b.step BETWEEN a.step - 2 AND a.step")
+def _(spark, d):
+    from .sources.readers import replay_history
+
+    got = replay_history(to_long(events_by_user(spark, d), {"p": ["value"]}), 3)
+    return got.select(ID, STEP, "at", r4(F.element_at("replay", 1)).alias("value"))
+
+
+@query("aligned_storage", f"WITH {USER} SELECT series_id, count(*) * 2 AS n FROM u GROUP BY series_id")
+def _(spark, d):
+    long = to_long(events_by_user(spark, d).withColumn("twice", 2 * F.col("value")), {"a": ["value"], "b": ["twice"]})
+    return validate_aligned(long).groupBy(ID).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("message_codec", f"WITH {USER} SELECT series_id, step, CAST(floor(time) AS BIGINT) AS time, round(value, 4) AS value FROM u")
+def _(spark, d):
+    from .sources.messages import decode, encode
+
+    long = encode(to_long(events_by_user(spark, d), {"p": ["value"]}))
+    return decode(long.select(ID, STEP, "message")).select(ID, STEP, F.floor(TIME).alias(TIME), r4(F.element_at("state", 1)).alias("value"))
+
+
 # --- simulation and inference (no SQL; pinned by tests) ----------------------------------
 
 from . import simulations  # noqa: E402
