@@ -3,8 +3,12 @@
 Two sets that reach the threshold share a token in the first n - ceil(t n) + 1 tokens of
 each, under any order of all tokens that both follow. The first order puts rare tokens
 first: frequent ones, counted over the whole corpus, stand last by the class of their count,
-and equal classes go by hash. Documents that share a prefix token under it form candidate
-groups. In a group, pairs that meet under the first order must also share a prefix token
+and equal classes go by hash. Documents that meet in a prefix token under it are counted
+pair by pair where the token is not frequent: below the lesser of the two prefixes' ends, all
+their common tokens are among these, so the count and what lies beyond bound the overlap, and
+few pairs that only share a passage pass. Frequent tokens, which stand in a prefix only where
+nearly all of a document is frequent, join their documents without pairs. The connected
+documents form candidate groups. In a group, pairs that meet under the first order must also share a prefix token
 under a second and a third order (other mixes of the hash) and have lengths that allow the
 threshold; only then are the sets compared, exactly.
 
@@ -40,7 +44,7 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Other orders: the hash times an odd number.
 _ORDERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 BROADCAST_ROWS = 1 << 20
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -81,7 +85,7 @@ def frequent_tokens(docs: DataFrame, n: int, least: int, hot_tokens: int) -> tup
     Each task sorts its tokens and sends them packed, by ranges of the hash, so counting is a
     few large rows per task; a range is merged chunk by chunk into its counts.
     """
-    buckets = min(65_536, max(16, 2 * partitions(docs)))
+    buckets = min(65_536, max(16, 8 * partitions(docs)))
     width = (1 << 48) // buckets + 1
 
     def sent(batches):
@@ -221,7 +225,7 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, least: int = 4, hot_tokens: int = 1 << 19, group_rows: int = 4096) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, least: int = 8, hot_tokens: int = 1 << 19, group_rows: int = 4096) -> DataFrame:
     """Columns key, n_shingles, component_id (the least key reachable by links, itself included)."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -231,7 +235,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def scanned(batches):
         seen, (hot, rank) = set(), shared.value
         for b in batches:
-            sizes, digests, prefixes, hots = [], [], [], []
+            sizes, digests, prefixes, hots, rares, lasts = [], [], [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, n)
                 d = xxhash.xxh3_128_digest(s.tobytes())
@@ -240,27 +244,41 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 if not len(s) or d in seen:  # its first copy in this task stands for it
                     prefixes.append(np.empty(0, "i8"))
                     hots.append(np.empty(0, "bool"))
+                    rares.append(0)
+                    lasts.append(0)
                     continue
                 seen.add(d)
                 at, r = rare_first(s, hot, rank)
                 at = at[: prefix_length(len(s), percent)]
                 prefixes.append(s[at].astype("i8"))
                 hots.append(r[at] > 0)
+                rare = int((r[at] == 0).sum())
+                rares.append(rare)
+                lasts.append(int(s[at[rare - 1]]) - 2**63 if rare else 0)  # in the order of the hash
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (prefixes, hots)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *lists], names=["key", "n", "digest", "prefix", "hot"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *lists, pa.array(rares, pa.int64()), pa.array(lasts, pa.int64())], names=["key", "n", "digest", "prefix", "hot", "rare", "last"])
 
-    scan = written(own.mapInArrow(scanned, "key long, n long, digest binary, prefix array<long>, hot array<boolean>"), "jaccard")
+    scan = written(own.mapInArrow(scanned, "key long, n long, digest binary, prefix array<long>, hot array<boolean>, rare long, last long"), "jaccard")
     real = scan.where(F.col("key").isNotNull() & (F.col("n") > 0))
     # a frequent token's documents are dealt to salted parts, whose least members then meet
-    met = real.select("key", F.explode(F.arrays_zip("prefix", "hot")).alias("t")).select(
-        F.col("t.prefix").alias("token"), F.when(F.col("t.hot"), F.pmod(F.xxhash64("key"), F.lit(64))).otherwise(-1).alias("salt"), "key"
+    met = real.select("key", "n", "rare", "last", F.explode(F.arrays_zip("prefix", "hot")).alias("t")).select(
+        F.col("t.prefix").alias("token"), F.when(F.col("t.hot"), F.pmod(F.xxhash64("key"), F.lit(64))).otherwise(-1).alias("salt"), "key", "n", "rare", "last"
     )
-    leads = met.withColumn("lead", F.min("key").over(Window.partitionBy("token", "salt")))
-    pairs = written(leads.where((F.col("lead") != F.col("key")) | (F.col("salt") >= 0)).select(F.col("key").alias("a"), F.col("lead").alias("b"), "token", F.col("salt") >= 0).toDF("a", "b", "token", "salted"), "jaccard-met")
-    heads = pairs.where("salted and a = b").select("token", "a").distinct()
+    same_token = Window.partitionBy("token", "salt")
+    met = met.withColumn("lead", F.min("key").over(same_token)).withColumn("most", F.max("key").over(same_token))
+    met = written(met.where((F.col("lead") != F.col("most")) | (F.col("salt") >= 0)).drop("most"), "jaccard-met")
+    stars = met.where("salt >= 0").select(F.col("key").alias("a"), F.col("lead").alias("b"), "token")
+    heads = stars.where("a = b").select("token", "a").distinct()
     heads = heads.withColumn("b", F.min("a").over(Window.partitionBy("token")))  # at most one row a salt
-    groups = components(pairs.select("a", "b").distinct().unionByName(heads.select("a", "b")))
+    rare = met.where("salt < 0")
+    x, y = (rare.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "rare", "last")]) for side in "xy")
+    sized = (F.col("key_x") < F.col("key_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+    met_in = x.join(y, (x["token"] == y["token"]) & sized).groupBy("key_x", "key_y").agg(F.count(F.lit(1)).alias("c"), *[F.max(f"{c}_{s}").alias(f"{c}_{s}") for c in ("n", "rare", "last") for s in "xy"])
+    beyond = F.when(F.col("last_x") <= F.col("last_y"), F.col("n_x") - F.col("rare_x")).otherwise(F.col("n_y") - F.col("rare_y"))
+    enough = (100 + percent) * (F.col("c") + beyond) >= percent * (F.col("n_x") + F.col("n_y"))
+    close = met_in.where(enough).select(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
+    groups = components(close.unionByName(stars.select("a", "b").distinct()).unionByName(heads.select("a", "b")))
     # every member of a group, roots too, with its block if the group is large
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group_rows).select("root", F.ceil(F.col("size") / group_rows).cast("int").alias("blocks"))
@@ -314,7 +332,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     copies = real.groupBy("digest").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
     same = real.select("key", "digest").join(copies, "digest").select(F.col("key").alias("a"), F.col("least").alias("b"))
     classes = components(found.unionByName(same))
-    discard(pairs, members)
+    discard(met, members)
     return scan.select("key", "n").join(classes, F.col("key") == F.col("node"), "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "key").alias("component_id")
     )
