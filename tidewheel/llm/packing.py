@@ -20,6 +20,7 @@ not read.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -33,6 +34,7 @@ from ._util import bounded_batches, written
 
 _MODELS: dict = {}
 #: Characters that split() takes for white space and the tokenizer doesn't.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -41,15 +43,16 @@ class WordTokenizer:
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of
     its words in order. Texts with its special strings or with the four separators above go
-    through the library whole; so do words outside Latin script.
+    through the library whole; so do words outside Latin script. Words are kept in two
+    generations, so that a full store forgets the ones not seen lately.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 300_000):
         import regex
         from tokenizers import Tokenizer
 
         self.tok, self.keep = Tokenizer.from_file(path), keep
-        self.words, self.parts = {}, {}
+        self.words, self.old_words, self.parts, self.old_parts = {}, {}, {}, {}
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         whole = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -60,23 +63,33 @@ class WordTokenizer:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
+        ids = self.old_parts.get(part)
+        if ids is None:
+            ids = self._encoded(part)
+        if len(self.parts) >= self.keep:
+            self.old_parts, self.parts = self.parts, {}
+        self.parts[part] = ids
+        return ids
+
+    def _encoded(self, part: str) -> bytes:
         mapped = part.encode().decode("latin-1").translate(self.letters)
         return np.array([t.id for t in self.tok.model.tokenize(mapped)], "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        if max(word) >= "ɐ":
+        ids = self.old_words.get(word)
+        if ids is None and not word.isascii() and max(word) >= "ɐ":
             ids = self._library(word)
-        else:
-            plain = word.lower() if word.isascii() else self.tok.normalizer.normalize_str(word)
-            pieces = [plain] if plain.isalpha() else self.pattern.findall(plain)
-            for p in pieces:
-                if p not in self.parts:
-                    if len(self.parts) >= self.keep:
-                        self.parts.clear()
-                    self.parts[p] = self._part(p)
-            ids = b"".join([self.parts[p] for p in pieces])
+        if ids is None:
+            plain = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
+            core = plain.rstrip(_MARKS)
+            if core.isalpha():  # letters, then perhaps marks: the two pieces of the pattern
+                pieces = [core, plain[len(core) :]] if len(core) < len(plain) else [core]
+            else:
+                pieces = self.pattern.findall(plain)
+            got = self.parts.get
+            ids = b"".join([got(p) or self._part(p) for p in pieces])
         if len(self.words) >= self.keep:
-            self.words.clear()
+            self.old_words, self.words = self.words, {}
         self.words[word] = ids
         return ids
 
