@@ -83,7 +83,8 @@ def anchors(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _edges(strings: list[bytes], fresh) -> list[list[tuple[int, int]]]:
-    """Each string as the edges (symbol, bytes) of the path-compressed trie of them all."""
+    """Each string as the edges (symbol, bytes) of the path-compressed trie of them all, up to
+    where it is on its own: an edge of one string matches nothing."""
     order = sorted(range(len(strings)), key=strings.__getitem__)
     depth, parent, leaf = [0], [-1], [0] * len(strings)
     stack, before = [0], None
@@ -104,14 +105,20 @@ def _edges(strings: list[bytes], fresh) -> list[list[tuple[int, int]]]:
             parent.append(stack[-1])
             stack.append(len(depth) - 1)
         leaf[i], before = stack[-1], x
-    base = fresh(len(depth))
-    out = []
+    used = [0] * len(depth)
+    for v in leaf:
+        while v:
+            used[v] += 1
+            v = parent[v]
+    base, out = fresh(len(depth)), []
     for v in leaf:
         path = []
         while v:
-            path.append((base + v, depth[v] - depth[parent[v]]))
+            if used[v] > 1:
+                path.append((base + v, depth[v] - depth[parent[v]]))
             v = parent[v]
-        out.append(path[::-1])
+        path.reverse()
+        out.append(path)
     return out
 
 
@@ -136,9 +143,12 @@ class Repeats:
                 left = _edges([c[:n][::-1] for _, _, n, c in rows], self._fresh)
                 right = _edges([c[n + k :] for _, _, n, c in rows], self._fresh)
                 anchor = self._fresh(1)
-                for (key, at, n, c), x, y in zip(rows, left, right):
+                for (key, at, _, _), x, y in zip(rows, left, right):
+                    before = sum(w for _, w in x)
+                    if before + k + sum(w for _, w in y) < self.size:
+                        continue  # it shares too little with any other
                     path = [*x[::-1], (anchor, k), *y]
-                    self.rows.append((key, at - n, len(self.symbols), [w for _, w in path]))
+                    self.rows.append((key, at - before, len(self.symbols), [w for _, w in path]))
                     self.symbols += [v for v, _ in path]
                     self.symbols.append(self._fresh(1))  # ends the context
 

@@ -30,8 +30,28 @@ def suffix_array(s: list[int]) -> list[int]:
     g = len(groups) - 1
     while g >= 0:
         passed[g] = True
-        own = sorted(i for i in groups[g] if member[i] == g)
+        own = [i for i in groups[g] if member[i] == g]
+        if len(own) > 1:
+            own.sort()
         groups[g] = own
+        if len(own) == 1:  # as below, for one suffix
+            j = own[0] - 1
+            while j >= 0 and passed[member[j]]:
+                j = pointer[j]
+            pointer[own[0]] = j
+            if j >= 0:
+                h, new = member[j], len(groups)
+                up = above_of.get(h)
+                groups.append([j])
+                passed.append(False)
+                below.append(h)
+                above_of[h] = new
+                if up is not None:
+                    below[up] = new
+                    above_of[new] = up
+                member[j] = new
+            g = below[g]
+            continue
         pointed: dict[int, int] = {}
         for i in own:
             j = i - 1
