@@ -194,6 +194,16 @@ def test_jaccard(spark, texts, options):
     assert jaccard.jaccard_components(table(spark, rows).limit(0), **options).count() == 0
 
 
+def test_jaccard_copy_without_key(spark):
+    rng = random.Random(12)
+    base = words(rng, 90)
+    near = base.split()
+    near[3] = "changed"
+    rows = [(None, base), (5, base), (6, " ".join(near)), (7, words(rng, 90))]
+    got = jaccard.jaccard_components(table(spark, rows).coalesce(1).orderBy(F.col("doc_id").asc_nulls_first()).coalesce(1)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {None: None, 5: 5, 6: 5, 7: 7}
+
+
 @pytest.mark.parametrize("options", [{}, {"group_rows": 5, "run_symbols": 300}])
 def test_substrings(spark, texts, options):
     rng = random.Random(2)

@@ -236,12 +236,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         seen, (hot, rank) = set(), shared.value
         for b in batches:
             sizes, digests, prefixes, hots, rares, lasts = [], [], [], [], [], []
-            for t in b.column("text").to_pylist():
+            for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
                 s = shingle_set(t, n)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 sizes.append(len(s))
                 digests.append(d)
-                if not len(s) or d in seen:  # its first copy in this task stands for it
+                if k is None or not len(s) or d in seen:  # its first copy with a key in this task stands for it
                     prefixes.append(np.empty(0, "i8"))
                     hots.append(np.empty(0, "bool"))
                     rares.append(0)
