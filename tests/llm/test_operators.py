@@ -216,6 +216,25 @@ def test_substrings(spark, texts, options):
     assert substrings.remove_repeats(table(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"group_rows": 2, "run_symbols": 300}])
+def test_substrings_of_rows_without_key(spark, options):
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, other, third = some(30), some(40), some(26)
+    twice = some(30) + other + some(30)
+    rows = [
+        (None, some(50) + passage + some(50)), (1, some(20) + passage + some(40)),  # shared with a row without a key alone
+        (None, twice), (2, twice), (3, some(10) + other[3:] + some(20)),  # a context with and without a key, and a part of it
+        (None, some(9) + third), (None, some(9) + third), (4, third + some(9)), (None, None), (5, some(80)),
+    ]
+    got = substrings.remove_repeats(table(spark, rows), size=24, **options).collect()
+    want = brute.repeated_bytes({(i, k): t for i, (k, t) in enumerate(rows)}, 24)
+    want = {k: v for (_, k), v in want.items() if k is not None}
+    assert all(want[k][1] for k in (1, 2, 3, 4)) and len(got) == len(rows)
+    assert {r[0]: (*tuple(r)[1:4], hashlib.sha256(r.kept).hexdigest()) for r in got if r[0] is not None} == want
+    assert sorted(r.kept for r in got if r[0] is None) == sorted((t or "").encode() for k, t in rows if k is None)
+
+
 def test_suffix_array():
     from tidewheel.llm.suffixes import suffix_array
 

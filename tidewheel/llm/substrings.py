@@ -18,8 +18,9 @@ cut into blocks, every pair of blocks a task, so no group is unbounded and no re
 
 Defined results: null text is empty; texts under ``size`` bytes have no repeats; rows of one
 key count as different places, and the spans found in any are removed from all of them, which
-matters only if their texts differ; a row with a null key is matched against and left whole;
-an empty table gives an empty result. Other columns are not read.
+matters only if their texts differ; a row with a null key is matched against, found again by
+the hash of its text, and left whole; an empty table gives an empty result. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -165,8 +166,8 @@ class Repeats:
         return out
 
 
-_ROW = "kind int, ah long, ch long, key long, start long, at long, finish long"
-_NAMES = ("kind", "ah", "ch", "key", "start", "at", "finish")
+_ROW = "kind int, ah long, ch long, key long, row long, at long, finish long"
+_NAMES = ("kind", "ah", "ch", "key", "row", "at", "finish")
 
 
 def _batch(*columns) -> pa.RecordBatch:
@@ -187,25 +188,26 @@ def _located(size: int):
     that are repeated within the chunk."""
 
     def out(held):
-        key = pa.concat_arrays([pa.array([k] * len(a), pa.int64()) for k, (a, *_) in held])
-        at, ah, ch, end = (np.concatenate([h[1][i] for h in held]) for i in range(4))
+        key = pa.concat_arrays([pa.array([k] * len(a), pa.int64()) for k, _, (a, *_) in held])
+        row = np.repeat(np.array([r for _, r, _ in held], "i8"), [len(h[2][0]) for h in held])
+        at, ah, ch, end = (np.concatenate([h[2][i] for h in held]) for i in range(4))
         order = np.lexsort((ch, ah))
-        at, ah, ch, end, key = at[order], ah[order], ch[order], end[order], key.take(pa.array(order))
+        at, ah, ch, end, key, row = at[order], ah[order], ch[order], end[order], key.take(pa.array(order)), row[order]
         first = _runs(ah, ch)
         size_of = np.diff(np.append(first, len(at)))
         dup = np.repeat(size_of > 1, size_of)
         start = np.maximum(0, at - (size - size // 2))
         ah, ch = ah.astype("i8"), ch.astype("i8")
-        yield _batch(np.ones(len(first), "i4"), ah[first], ch[first], key.take(pa.array(first)), start[first], at[first], end[first])
+        yield _batch(np.ones(len(first), "i4"), ah[first], ch[first], key.take(pa.array(first)), row[first], at[first], end[first])
         d = np.flatnonzero(dup)
-        yield _batch(np.zeros(len(d), "i4"), start[d] * 7919 + end[d], ch[d], key.take(pa.array(d)), start[d], at[d], end[d])
+        yield _batch(np.zeros(len(d), "i4"), start[d] * 7919 + end[d], ch[d], key.take(pa.array(d)), row[d], at[d], end[d])
 
     def run(batches):
         held, count = [], 0
         for b in batches:
-            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+            for key, row, text in zip(*(b.column(c).to_pylist() for c in ("key", "row", "text"))):
                 if text and len(got := anchors(text.encode(), size)[:4]) and len(got[0]):
-                    held.append((key, got))
+                    held.append((key, row, got))
                     count += len(got[0])
             if count >= _CHUNK:
                 yield from out(held)
@@ -261,21 +263,29 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
         raise ValueError("size must be even and at least 4")
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    # rows without a key are told apart by their texts: equal ones can stand for each other
+    own = own.select("key", F.when(F.col("key").isNull(), F.xxhash64("text")).otherwise(0).alias("row"), "text")
     rows = own.mapInArrow(_located(size), _ROW).repartition("ah").sortWithinPartitions("ah", "kind", "ch")
     known = written(rows.mapInArrow(_grouped, _ROW), "repeats")
-    spans = known.where("kind = 0").select("key", "start", "finish")
-    asked = known.where("kind = 1 and key is not null").select("ah", "key", "start", "at", "finish")
+    start = F.greatest(F.lit(0), F.col("at") - (size - size // 2)).alias("start")
+    spans = known.where("kind = 0 and key is not null").select("key", start, "finish")
+    asked = known.where("kind = 1").select("ah", "key", "row", start, "at", "finish")
     large = asked.groupBy("ah").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > group_rows).select(F.col("ah").alias("a"), F.ceil(F.col("m") / group_rows).cast("int").alias("blocks"))
-    asked = asked.join(large, F.col("ah") == F.col("a"), "left").select("key", F.struct("ah", "start", "at", "finish", F.coalesce("blocks", F.lit(1)).alias("blocks")).alias("ask"))
-    fetch = asked.groupBy("key").agg(F.collect_list("ask").alias("asks"))  # a document's own anchors
+    asked = asked.join(large, F.col("ah") == F.col("a"), "left").select("key", "row", F.struct("ah", "start", "at", "finish", F.coalesce("blocks", F.lit(1)).alias("blocks")).alias("ask"))
+    fetch = asked.groupBy(F.col("key").alias("k"), F.col("row").alias("r")).agg(F.collect_list("ask").alias("asks"))  # a document's own anchors
 
     def cut(batches):
+        seen = set()
         for b in batches:
             out = []
-            for key, text, asks in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("asks").to_pylist()):
+            for key, row, text, asks in zip(*(b.column(c).to_pylist() for c in ("key", "row", "text", "asks"))):
                 raw = (text or "").encode()
+                if key is None:  # left whole, so one of its copies is enough to match
+                    if (d := xxhash.xxh3_128_digest(raw)) in seen:
+                        continue
+                    seen.add(d)
                 for q in asks:
-                    mine = xxhash.xxh3_64_intdigest(f"{key} {q['at']}") % q["blocks"]
+                    mine = xxhash.xxh3_64_intdigest(f"{row if key is None else key} {q['at']}") % q["blocks"]
                     for other in range(q["blocks"]):
                         out.append((q["ah"], min(mine, other), max(mine, other), key, q["at"], q["at"] - q["start"], raw[q["start"] : q["finish"]]))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -287,7 +297,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
         work, at, group = Repeats(size), None, []
 
         def out():
-            got = list(zip(*work.found())) or [(), (), ()]
+            got = list(zip(*(x for x in work.found() if x[0] is not None))) or [(), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], names=["key", "start", "finish"])
 
         for b in batches:
@@ -302,7 +312,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
         yield out()
 
     more = (
-        own.join(fetch.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "text", "asks")
+        own.join(fetch, F.col("key").eqNullSafe(F.col("k")) & (F.col("row") == F.col("r"))).select("key", "row", "text", "asks")
         .mapInArrow(cut, "ah long, i int, j int, key long, at long, before long, context binary")
         .repartition("ah", "i", "j").sortWithinPartitions("ah", "i", "j")
         .mapInArrow(matched, "key long, start long, finish long")
