@@ -24,6 +24,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality(docs, keep_text=True).where("kept").select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, which tells rows apart whatever their ids; written, so that it holds."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that with the least id. Rows that repeat an id are one
     document; rows without an id are in no group and stay."""
@@ -35,8 +40,9 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover less than a twentieth."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where(is_contaminated()).select("doc_id")
-    return docs.join(hit, "doc_id", "leftanti").select(*docs.columns)
+    rows = _numbered(docs)
+    hit = contamination(rows, table(spark, sf_dir, "benchmark"), key="__row").where(is_contaminated()).select("__row")
+    return rows.join(hit, "__row", "leftanti").select(*docs.columns)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,6 +117,18 @@ def test_decontamination(spark, texts):
     assert decontaminate.contamination(table(spark, texts), bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_decontamination_by_row(spark):
+    rng = random.Random(8)
+    item, clean = words(rng, 20), words(rng, 60, 10**6)
+    rows = [(None, item), (None, clean), (None, None), (3, clean + " " + item), (3, clean)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.contamination(table(spark, rows), bench).collect()
+    order = lambda t: (t[0] or 0, *t[1:])
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=order) == sorted(
+        [(None, 20, 20, ["1"]), (None, 60, 0, []), (None, 0, 0, []), (3, 80, 20, ["1"]), (3, 60, 0, [])], key=order
+    )
+
+
 def test_quality(spark, texts):
     assert quality.text_stats("a b c a b c") == (6, 6, 0, 0, 6)
     assert quality.text_stats("x x x x") == (4, 4, 0, 0, 4)

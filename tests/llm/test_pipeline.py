@@ -31,6 +31,13 @@ def test_stages(spark, sf):
     assert cp.run(spark, sf).toPandas().length.sum() == five.length.sum()
 
 
+def test_decontamination_without_ids(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    clean = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, item), (None, clean), (1, item), (2, clean)], "doc_id long, text string")
+    assert {tuple(r) for r in cp.decontamination_stage(spark, docs, sf).collect()} == {(None, clean), (2, clean)}
+
+
 def test_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:

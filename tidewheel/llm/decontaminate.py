@@ -12,9 +12,9 @@ candidates is shuffled. The benchmark's side is broadcast behind a check of its
 joined by a shuffle beyond it, where adaptive execution splits a frequent word.
 
 Defined results: null text has no words and no hits; null or empty items have no windows;
-an item id that repeats counts once, with the windows of all its rows; rows of ``docs``
-with one key are one document, whose counts are of its longest row; empty tables give an
-empty result or no hits. Other columns are not read.
+an item id that repeats counts once, with the windows of all its rows; each row of ``docs``
+is a document with counts of its own, also where its key is null or repeats; empty tables
+give an empty result or no hits. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -50,10 +50,10 @@ def _sized(df: DataFrame, per_row: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 13, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: key, n_words, n_hit and the ids of the items with occurring windows."""
+    """Per row of ``docs``: key, n_words, n_hit and the ids of the items with occurring windows."""
     win = written(windows(items, size, item_key, item_text), "windows")
     vocabulary = written(win.select(F.explode("win").alias("word")).distinct(), "vocabulary")
-    own = docs.select(F.col(key).alias("key"), words(F.col(text)).alias("w"))
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words(F.col(text)).alias("w"))
     rarity = written(
         own.select(F.explode("w").alias("word")).join(_sized(vocabulary, 64), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")), "rarity"
     )
@@ -69,31 +69,32 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, key: str =
         items.sparkSession.range(1).select(F.lit(""), F.lit(0)).toDF("word", "at"), allowMissingColumns=True
     )
     prefix = written(prefix.select("item", "win", "word", "at"), "prefix")
-    probe = own.select("key", "w", F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "word"))
+    probe = own.select("row", "key", "w", F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "word"))
     start = F.col("pos") - F.col("at")  # 1-based, as pos counts the empty word
     met = probe.join(_sized(prefix, 64 + 32 * size), "word")
     hits = met.where(
         F.col("win").isNull()
         | ((start >= 1) & (start + F.size("win") - 1 <= F.size("w")) & (F.slice("w", F.greatest(F.lit(1), start), F.size("win")) == F.col("win")))
-    ).select("key", "item", F.size("w").alias("n_words"), start.alias("start"), F.when(F.col("win").isNotNull(), F.size("win")).alias("len"))
+    ).select("row", "key", "item", F.size("w").alias("n_words"), start.alias("start"), F.when(F.col("win").isNotNull(), F.size("win")).alias("len"))
     found = written(hits, "hits")
     discard(vocabulary)
-    spans = found.where(F.col("len").isNotNull()).groupBy("key", "start").agg(F.max("len").alias("len"))
-    by_key = Window.partitionBy("key").orderBy("start")
+    spans = found.where(F.col("len").isNotNull()).groupBy("row", "start").agg(F.max("len").alias("len"))
+    by_row = Window.partitionBy("row").orderBy("start")
     stop = F.col("start") + F.col("len")
-    reached = F.coalesce(F.max(stop).over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    covered = spans.select("key", F.greatest(F.lit(0), stop - F.greatest(F.col("start"), reached)).alias("new"))
+    reached = F.coalesce(F.max(stop).over(by_row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    covered = spans.select("row", F.greatest(F.lit(0), stop - F.greatest(F.col("start"), reached)).alias("new"))
     parts = (
-        found.where(F.col("len").isNull()).groupBy("key").agg(F.max("n_words").alias("n_words"))
-        .select("key", "n_words", F.lit(None).cast("long").alias("new"), F.lit(None).cast(win.schema["item"].dataType).alias("item"))
+        found.where(F.col("len").isNull())
+        .select("row", "key", "n_words", F.lit(None).cast("long").alias("new"), F.lit(None).cast(win.schema["item"].dataType).alias("item"))
         .unionByName(covered, allowMissingColumns=True)
-        .unionByName(found.where(F.col("len").isNotNull()).select("key", "item").distinct(), allowMissingColumns=True)
+        .unionByName(found.where(F.col("len").isNotNull()).select("row", "item").distinct(), allowMissingColumns=True)
     )
-    return parts.groupBy("key").agg(
+    return parts.groupBy("row").agg(
+        F.max("key").alias("key"),
         F.max("n_words").cast("long").alias("n_words"),
         F.coalesce(F.sum("new"), F.lit(0)).cast("long").alias("n_hit"),
         F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"),
-    ).withColumnRenamed("key", key)
+    ).drop("row").withColumnRenamed("key", key)
 
 
 def is_contaminated() -> Column:
