@@ -136,3 +136,33 @@ def test_likelihoods_against_numpy(spark):
     assert likelihood.wishart_loglike(np.array([[2.0]]), np.array([[1.0]]), 3.0) == pytest.approx(0.5 * math.log(2) - 1 - 1.5 * math.log(2) - math.lgamma(1.5))
     got = spark.range(1).select(likelihood.digamma(F.lit(1.0))).first()[0]
     assert got == pytest.approx(-0.5772156649015329, abs=1e-10)
+
+
+def test_covariance_of_whole_embeddings(spark, sf):
+    import duckdb
+    import numpy as np
+
+    import __spark_entry__ as entry
+
+    got = entry.queries()["embedding_rolling_cov_whole"](spark, sf).toPandas()
+    rows = duckdb.sql(f"SELECT label, embedding FROM '{sf}/embeddings.parquet' ORDER BY label, vec_id").df()
+    assert len(got) == len(rows) * 64 * 65 // 2
+    got = {k: g.sort_values(["i", "j"])["cov"].to_numpy() for k, g in got.groupby(["series_id", "step"])}
+    for label, g in rows.groupby("label"):
+        x = np.stack(g.embedding.to_list()).astype("f8")
+        for t in range(len(x)):
+            want = np.cov(x[t - 6 : t + 1].T)[np.triu_indices(64)] if t >= 6 else 0.0
+            np.testing.assert_allclose(got[label, t], want, atol=6e-5)
+
+
+def test_covariance_pairs_leave_nulls_out(spark):
+    from tidewheel.operators.kernels import Constant
+    from tidewheel.operators.rolling import rolling_covariance, rolling_covariance_pairs
+
+    rows = [(s, t, float(t), None if (t + s) % 3 == 0 else float(t * t % 7), None if t % 4 == 1 else float(t * 3 % 5)) for s in (1, 2) for t in range(12)]
+    df = spark.createDataFrame(rows, "series_id long, step long, time double, a double, b double")
+    want = {(r.series_id, r.step, i, j): r[f"cov_{i}_{j}"] for r in rolling_covariance(df, ["a", "b"], 2, Constant()).collect() for i, j in ((0, 0), (0, 1), (1, 1))}
+    got = {tuple(r)[:4]: r["cov"] for r in rolling_covariance_pairs(df, ["a", "b"], 2).collect()}
+    assert got.keys() == want.keys() and None in want.values()
+    for k, v in want.items():
+        assert (got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9), k

@@ -18,8 +18,8 @@ from .operators import likelihood as ll
 from .operators.grouping import discover_groups, group_list, grouped_aggregation
 from .operators.kernels import Binned, Constant, Exponential, GaussianState, Instantaneous, Kernel, Periodic, Product, TDistributionState
 from .operators.regression import ols
-from .operators.rolling import rolling_covariance, rolling_mean, rolling_variance
-from .series import ID, STEP, TIME, DataRef, embeddings_by_label, events_by_type, events_by_user, lineitem_by_supplier, orders_by_customer, read_table, replace_partition, to_long, to_series, to_wide, validate_aligned
+from .operators.rolling import rolling_covariance, rolling_covariance_pairs, rolling_mean, rolling_variance
+from .series import EMBEDDING, ID, STEP, TIME, DataRef, embeddings_by_label, events_by_type, events_by_user, lineitem_by_supplier, orders_by_customer, read_table, replace_partition, to_long, to_series, to_wide, validate_aligned, whole_embeddings_by_label
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -193,6 +193,12 @@ def _(spark, d):
     return shown(rolling_covariance(embeddings_by_label(spark, d), [f"e{i}" for i in range(4)], DEPTH, Constant()), *[f"cov_{i}_{j}" for i in range(4) for j in range(i, 4)])
 
 
+@query("embedding_rolling_cov_whole")
+def _(spark, d):
+    pairs = rolling_covariance_pairs(whole_embeddings_by_label(spark, d), [f"e{i}" for i in range(EMBEDDING)], DEPTH)
+    return pairs.select(ID, STEP, "i", "j", r4("cov").alias("cov"))
+
+
 # --- grouping ----------------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ieee
-from ..series import STEP, TIME, by_step, frame
+from ..series import ID, STEP, TIME, by_step, frame
 from .kernels import Constant, Instantaneous, Kernel
 
 #: Up to this depth lagged columns are used.
@@ -128,3 +128,47 @@ def rolling_covariance(df: DataFrame, cols: Sequence[str], depth: int, kernel: K
             cross = ieee.divide(F.col(f"__s_{cols[i]}") * F.col(f"__s_{cols[j]}"), F.col("__w"))
             done.append(warm(depth, ieee.divide(F.col(f"__q_{i}_{j}") - cross, F.col("__w") - 1.0), default).alias(f"cov_{i}_{j}"))
     return out.select(*df.columns, *done)
+
+
+def rolling_covariance_pairs(df: DataFrame, cols: Sequence[str], depth: int, *, default: float = 0.0) -> DataFrame:
+    """Rows (series_id, step, i, j, cov) for all i <= j, with a constant kernel: for states too
+    wide for a column a pair. A pair's nulls are left out, as by covar_samp. A task streams its
+    series and carries ``depth`` rows on."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = len(cols)
+    first, second = np.triu_indices(n)
+
+    def products(x, ok):  # (windows, n, rows)
+        mean = x.sum(2, keepdims=True) / np.maximum(ok.sum(2, keepdims=True), 1)
+        x = (x - mean) * ok
+        count, part = ok @ ok.swapaxes(1, 2), x @ ok.swapaxes(1, 2)
+        with np.errstate(all="ignore"):
+            cov = (x @ x.swapaxes(1, 2) - part * part.swapaxes(1, 2) / count) / (count - 1)
+        return cov[:, first, second], count[:, first, second] < 2
+
+    def run(batches):
+        last, held = (), None
+        for b in batches:
+            ids, steps, flat = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).flatten()
+            x = np.stack([flat.fill_null(0.0).to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False)]).astype("f8").reshape(2, -1, n)
+            starts = [k for k in range(len(ids)) if not k or ids[k] != ids[k - 1]]
+            for s, e in zip(starts, [*starts[1:], len(ids)]):
+                if last != (ids[s],):
+                    last, held = (ids[s],), np.zeros((2, depth, n))
+                held = np.concatenate([held, x[:, s:e]], axis=1)
+                frames = np.lib.stride_tricks.sliding_window_view(held, depth + 1, axis=1)
+                for k in range(s, e, 32):
+                    end = min(e, k + 32)
+                    cov, none = products(*frames[:, k - s : end - s])
+                    cold = (steps[k:end] < max(depth, 1))[:, None]
+                    cov, none = np.where(cold, default, cov), none & ~cold
+                    rows = pa.array(np.repeat(np.arange(k, end), len(first)))
+                    pair = [pa.array(np.tile(p, end - k).astype("i4")) for p in (first, second)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *pair, pa.array(cov.ravel(), mask=none.ravel())], names=[ID, STEP, "i", "j", "cov"])
+                held = held[:, held.shape[1] - depth :]
+
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in (ID, STEP)]
+    rows = df.select(ID, F.col(STEP), F.array(*[F.col(c).cast("double") for c in cols]).alias("state"))
+    return rows.repartition(ID).sortWithinPartitions(ID, STEP).mapInArrow(run, f"{', '.join(kinds)}, i int, j int, cov double")

@@ -91,6 +91,10 @@ class DataRef:
         return rows.select(ID, STEP, TIME, *[F.element_at("state", i + 1).alias(f"{self.partition} {i}") for i in picks])
 
 
+#: Elements of an embedding.
+EMBEDDING = 64
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -112,6 +116,11 @@ def lineitem_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_series(read_table(spark, sf_dir, "lineitem"), F.col("l_suppkey"), ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"], seconds("l_shipdate"), cols)
 
 
+def whole_embeddings_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read_table(spark, sf_dir, "embeddings")
+    return to_series(df, F.col("label"), ["vec_id"], F.col("vec_id"), {f"e{i}": F.get("embedding", F.lit(i)) for i in range(EMBEDDING)})
+
+
 def embeddings_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read_table(spark, sf_dir, "embeddings")
     return to_series(df, F.col("label"), ["vec_id"], F.col("vec_id"), {f"e{i}": F.element_at("embedding", i + 1) for i in range(4)})
