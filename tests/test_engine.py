@@ -227,3 +227,11 @@ def test_streams(spark, tmp_path):
             assert got[u, float(t)] == pytest.approx(np.mean([value(u, s) for s in range(t - 2, t + 1)]))
     top = {(r.series_id, r.time): list(r.top) for r in collect(stateful.running_top(read(), "value", 2), "s2")}
     assert top[1, 11.0] == [6.0, 5.0]
+
+
+def test_stdout_prints_every_row(spark, capsys):
+    rows = spark.range(1500).selectExpr("0L AS series_id", "'a' AS partition_name", "id AS step", "double(id) AS time", "array(1.0D) AS state")
+    writers.write_stdout(rows)
+    assert len(capsys.readouterr().out.splitlines()) == 1500
+    writers.write_stdout(rows, 10)
+    assert len(capsys.readouterr().out.splitlines()) == 10

@@ -26,10 +26,11 @@ def write_nil(long: DataFrame) -> None:
     long.write.format("noop").mode("overwrite").save()
 
 
-def write_stdout(long: DataFrame, rows: int = 1000) -> None:
-    """``time name [values]`` lines, by step, streamed one partition at a time."""
+def write_stdout(long: DataFrame, rows: int | None = None) -> None:
+    """``time name [values]`` lines, by step, streamed one partition at a time; all of them
+    unless a number of ``rows`` is asked for."""
     for k, r in enumerate(long.orderBy(ID, STEP, "partition_name").toLocalIterator()):
-        if k >= rows:
+        if rows is not None and k >= rows:
             break
         print(r[TIME], r.partition_name, list(r.state))
 
