@@ -30,12 +30,16 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the least id. Rows that repeat an id are one
-    document; rows without an id are in no group and stay."""
-    found = jaccard_components(docs)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "leftsemi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each group: that with the least id, null last. Rows are told apart by more than
+    their ids, so only copies go; of rows without words, those that repeat an id and its text."""
+    rows = _numbered(docs)
+    blank = F.when(~F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.col("text")).alias("blank")
+    found = jaccard_components(rows, key="__row").join(rows.select("__row", "doc_id", blank), "__row")
+    wordless = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    group = [F.when(~wordless, F.col("component_id")), F.when(wordless, F.col("doc_id")), F.when(wordless, F.col("blank"))]
+    least = F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("__row")
+    first = found.groupBy(*[g.alias(f"g{i}") for i, g in enumerate(group)]).agg(least).select("__row")
+    return rows.join(first, "__row", "leftsemi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

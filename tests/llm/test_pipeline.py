@@ -38,6 +38,13 @@ def test_decontamination_without_ids(spark, sf):
     assert {tuple(r) for r in cp.decontamination_stage(spark, docs, sf).collect()} == {(None, clean), (2, clean)}
 
 
+def test_near_duplicates_by_row(spark, sf):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = spark.createDataFrame([(7, one), (7, one), (7, two), (None, one), (None, two + " b"), (None, "x y"), (8, " "), (8, " "), (9, two)], "doc_id long, text string")
+    got = sorted((tuple(r) for r in cp.near_duplicates_stage(spark, docs, sf).collect()), key=str)
+    assert got == sorted([(7, one), (7, two), (None, "x y"), (8, " ")], key=str)
+
+
 def test_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
