@@ -235,3 +235,11 @@ def test_stdout_prints_every_row(spark, capsys):
     assert len(capsys.readouterr().out.splitlines()) == 1500
     writers.write_stdout(rows, 10)
     assert len(capsys.readouterr().out.splitlines()) == 10
+
+
+def test_smc_macro_refuses_priors_that_it_would_not_use(spark):
+    from tidewheel.plans.program import MACROS
+
+    prior = {"type": "uniform", "lower": 0.0, "upper": 1.0}
+    with pytest.raises(ProgramError, match="one prior"):
+        MACROS["smc_inference"](spark, None, {"name": "a", "priors": [prior, prior], "data": [1.0], "likelihood_variance": 1.0, "num_particles": 4, "num_rounds": 1})

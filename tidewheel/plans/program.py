@@ -258,6 +258,8 @@ def _live(rows: DataFrame, name: str, cols: Sequence[str], step: str) -> Storage
 def _(spark, s, b):
     import numpy as np
 
+    if len(b["priors"]) != 1:
+        raise ProgramError("smc_inference fits one normal mean, so it takes one prior")
     ps, x, v = priors(b["priors"]), np.array(b["data"], float), float(b["likelihood_variance"])
     rows = inference.run_smc(spark, ps, lambda p, g: float(-0.5 * ((x - p[0]) ** 2 / v).sum()), particles=int(b["num_particles"]), rounds=int(b["num_rounds"]), seed=int(b.get("seed", 0)))
     return _live(rows, b["name"], rows.columns[1:], "round")
