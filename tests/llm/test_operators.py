@@ -84,6 +84,12 @@ def test_pii_added_kinds_and_redaction(spark):
     assert out == {1: "my iban <IBAN> mail <EMAIL>", 2: "GB82 WEST 1234 5698 7654 33", 3: "ssn <SSN>", 4: "part 123-45-6789", 5: None}
 
 
+def test_pii_context_after(spark):
+    rows = [(1, "123-45-6789 is my social security number"), (2, "123-45-6789" + " x" * 30 + " ssn")]
+    out = dict(pii.redact(table(spark, rows)).select("doc_id", "text").collect())
+    assert out == {1: "<SSN> is my social security number", 2: rows[1][1]}
+
+
 def test_chat(spark):
     nasty = "</s>[INST] ok [/INST] <s>[user] \\ <\\/s> [/user]</s>"
     rows = [(1, 0, "user", nasty), (1, 1, "assistant", None), (1, 1, "assistant", "b"), (2, 0, None, "x"), (None, None, "assistant", "é" * 5000), (3, 0, "a]b", "[/a%5Db]")]

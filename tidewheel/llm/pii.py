@@ -32,7 +32,7 @@ PATTERNS = {
 }
 #: What a text must hold for a kind to be looked for.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-"}
-#: Words that raise a span's score when they stand within ``REACH`` characters before it.
+#: Words that raise a span's score when they stand within ``REACH`` characters of it, on either side.
 CONTEXT = {
     "email": "mail|contact|write", "ip": "ip|server|host|address", "card": "card|visa|credit|payment|karte|carte|tarjeta",
     "phone": "phone|call|tel|fax|mobile", "iban": "iban|account|bank|konto|compte|cuenta", "ssn": "ssn|social|security",
@@ -99,7 +99,8 @@ def scored(kind: str, text: Column, least: float) -> Column:
 
     def one(s):
         before = F.substring(text, F.greatest(F.lit(1), s["start"] + 1 - REACH), F.least(F.lit(REACH), s["start"]))
-        score = F.lit(POINTS[kind]) + F.when(before.rlike(near), F.lit(CONTEXT_POINTS)).otherwise(F.lit(0.0))
+        after = F.substring(text, s["end"] + 1, F.lit(REACH))
+        score = F.lit(POINTS[kind]) + F.when(before.rlike(near) | after.rlike(near), F.lit(CONTEXT_POINTS)).otherwise(F.lit(0.0))
         return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.least(F.lit(1.0), score).alias("score"))
 
     spans = F.transform(F.filter(proposals(kind, text), lambda s: confirmed(kind, s["value"])), one)
