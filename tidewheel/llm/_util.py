@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The most that a side may have for an explicit broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a local one is set only where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,6 +52,23 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of at most about ``most`` bytes; a batch that is larger is cut by rows."""
+    held, size = [], 0
+    for b in batches:
+        pieces = max(1, -(-b.nbytes // most))
+        step = max(1, -(-b.num_rows // pieces))
+        for i in range(0, b.num_rows, step):
+            part = b.slice(i, step)
+            if held and size + part.nbytes > most:
+                yield held
+                held, size = [], 0
+            held.append(part)
+            size += part.nbytes
+    if held:
+        yield held
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,88 +19,133 @@ not read.
 
 from __future__ import annotations
 
+import json
 import re
-import unicodedata
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import bounded_batches, written
+from ._util import BROADCAST_BYTES, by_bytes, written
 
 _MODELS: dict = {}
-#: Characters that split() takes for white space and the tokenizer doesn't.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Text that is tokenized at once.
+TEXT_BYTES = 8 << 20
+#: What the vectorised form needs of a tokenizer file; others go through the library whole.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_END = "</w>"
+#: Words with other characters go through the library: there its tables alone decide case,
+#: composition and classes.
+_ODD = "[^\x00-\x7F\u00A1-\u024F]"
 
 
 class WordTokenizer:
-    """Ids of texts, with the ids of words kept.
+    """Ids of texts, a batch at a time, without memory of earlier ones.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of
-    its words in order. Texts with its special strings or with the four separators above go
-    through the library whole; so do words outside Latin script. Words are kept in two
-    generations, so that a full store forgets the ones not seen lately.
+    its words in order. A batch's distinct words are cut into pieces and merged once; each
+    occurrence then takes its word's ids by number. Merges run in ``tiktoken``, whose rule,
+    the adjacent pair of least rank first, is the same when a merge's rank is the id it makes;
+    the mark of a word's end is a space after each piece. Texts with special strings or with
+    control characters that separate, and words outside ASCII and Latin letters, go through
+    the library itself, and so do all texts if the file is not of this kind.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
-        import regex
+    def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tok, self.keep = Tokenizer.from_file(path), keep
-        self.words, self.old_words, self.parts, self.old_parts = {}, {}, {}, {}
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        whole = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in whole]
-        self.letters = {b: b for b in whole} | {b: 256 + i for i, b in enumerate(rest)}
-
-    def _library(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _part(self, part: str) -> bytes:
-        ids = self.old_parts.get(part)
-        if ids is None:
-            ids = self._encoded(part)
-        if len(self.parts) >= self.keep:
-            self.old_parts, self.parts = self.parts, {}
-        self.parts[part] = ids
-        return ids
-
-    def _encoded(self, part: str) -> bytes:
-        mapped = part.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tok.model.tokenize(mapped)], "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        ids = self.old_words.get(word)
-        if ids is None and not word.isascii() and max(word) >= "ɐ":
-            ids = self._library(word)
-        if ids is None:
-            plain = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
-            core = plain.rstrip(_MARKS)
-            if core.isalpha():  # letters, then perhaps marks: the two pieces of the pattern
-                pieces = [core, plain[len(core) :]] if len(core) < len(plain) else [core]
-            else:
-                pieces = self.pattern.findall(plain)
-            got = self.parts.get
-            ids = b"".join([got(p) or self._part(p) for p in pieces])
-        if len(self.words) >= self.keep:
-            self.old_words, self.words = self.words, {}
-        self.words[word] = ids
-        return ids
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        if any(s in text for s in self.special) or _SEPARATORS.search(text):
-            return self._library(text)
-        got, make = self.words.get, self._word
-        return b"".join([got(w) or make(w) for w in text.split()])
+        self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = [t["content"] for t in spec["added_tokens"]]
+        self.whole = "|".join(["[\x1c-\x1f]", *map(re.escape, special)])
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        first = (split.get("pretokenizers") or [{}])[0]
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", ())]
+        ranks = [model["vocab"].get(m, -1) for m in merged]
+        self.own = (
+            model["type"] == "BPE" and model.get("end_of_word_suffix") == _WORD_END and not model.get("dropout")
+            and (spec.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+            and first.get("pattern") == {"Regex": _PIECES} and first.get("behavior") == "Removed" and first.get("invert") is True
+            and [t.get("type") for t in split["pretokenizers"]] == ["Split", "ByteLevel"]
+            and all(a < b for a, b in zip(ranks, ranks[1:]))
+        )
+        if not self.own:
+            return
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printed)}
+        table, self.ends = {}, np.zeros(max(model["vocab"].values()) + 1, "bool")
+        for token, i in model["vocab"].items():
+            if token not in special:
+                last = token.endswith(_WORD_END) and token != _WORD_END
+                body = token.removesuffix(_WORD_END) if last else token
+                table[bytes(byte[c] for c in body) + (b" " if last else b"")] = i
+                self.ends[i] = last
+        self.merge = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=table, special_tokens={})._core_bpe
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids in order."""
+        odd = pc.match_substring_regex(words, _ODD)
+        plain = words.filter(pc.invert(odd))
+        one = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), "\n")[0].as_py()
+        pieces = pc.replace_substring_regex(pa.array(one.lower().split("\n"), pa.string()), f"(?:{_PIECES})", r"\0 ")
+        data = "".join(pieces.to_pylist()) if len(plain) < 64 else _data(pieces)
+        ids = np.frombuffer(self.merge.encode_to_tiktoken_buffer(data, set()), "<u4")
+        stop = np.append(-1, np.flatnonzero(self.ends[ids]))[np.cumsum(pc.count_substring(pieces, " ").to_numpy())] + 1
+        n = np.diff(stop[: len(plain)], prepend=0)
+        if len(plain) == len(words):
+            return n, ids
+        other = self._library(words.filter(odd).to_pylist())
+        which = odd.to_numpy(zero_copy_only=False)
+        size, at = np.empty(len(words), "i8"), np.empty(len(words), "i8")
+        size[~which], size[which] = n, [len(x) for x in other]
+        at[~which], at[which] = np.cumsum(n) - n, len(ids) + np.cumsum([0, *(len(x) for x in other[:-1])])
+        return size, _taken(np.concatenate([ids, *other]), at, size)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text (no nulls) has, and all ids in order."""
+        if not len(texts):
+            return np.zeros(0, "i8"), np.zeros(0, "<u4")
+        if not self.own:
+            got = self._library(texts.to_pylist())
+            return np.array([len(x) for x in got]), np.concatenate(got)
+        whole = pc.match_substring_regex(texts, self.whole)
+        words = pc.ascii_split_whitespace(pc.if_else(whole, "", texts))
+        coded = words.flatten().dictionary_encode()
+        n, ids = self._words(coded.dictionary)
+        codes, bounds = coded.indices.to_numpy(), words.offsets.to_numpy().astype("i8")
+        total = np.concatenate([[0], np.cumsum(n[codes])])
+        sizes, flat = np.diff(total[bounds - bounds[0]]), _taken(ids, (np.cumsum(n) - n)[codes], n[codes])
+        if pc.any(whole).as_py():
+            at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+            own = self._library(texts.filter(whole).to_pylist())
+            cuts = np.cumsum(sizes)[at]  # these texts have no ids yet
+            parts = np.split(flat, cuts)
+            flat = np.concatenate([x for pair in zip(parts, [*own, np.zeros(0, "<u4")]) for x in pair])
+            sizes[at] = [len(x) for x in own]
+        return sizes, flat
+
+
+def _data(a: pa.Array) -> str:
+    """The values of a string array, one after the other."""
+    bounds = np.frombuffer(a.buffers()[1], "<i4")[a.offset : a.offset + len(a) + 1]
+    return a.buffers()[2][int(bounds[0]) : int(bounds[-1])].to_pybytes().decode()
+
+
+def _taken(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of ``flat``, of these sizes from these places, one after the other."""
+    stop = np.cumsum(size)
+    return flat[np.repeat(at - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -167,26 +212,33 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> np.ndarray:
 
 def tokenized(docs: DataFrame, path: str, end_id: int, window: int, key: str, text: str) -> DataFrame:
     """Rows key, ids, task, whole (windows before, in the task), rank (of the remainder's length)."""
-    bounded_batches(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches):
-        encode, task = tokenizer(path), TaskContext.get().partitionId()
-        whole, ranks = 0, np.zeros(window, "i8")
-        for b in batches:
-            ids = [encode(x or "") + end for x in b.column("text").to_pylist()]
-            starts, places = [], []
-            for x in ids:
-                full, rest = divmod(len(x) // 4, window)
-                starts.append(whole)
-                places.append(int(ranks[rest]))
-                whole += full
-                ranks[rest] += 1
-            n = len(ids)
+    def made(task, batches, seen, ranks):
+        keys, texts = (pa.concat_arrays([b.column(c) for b in batches]) for c in ("key", "text"))
+        sizes, flat = tokenizer(path)(texts.fill_null(""))
+        sizes, ids = sizes + 1, np.insert(flat, np.cumsum(sizes), np.uint32(end_id))
+        full, rest = np.divmod(sizes, window)
+        order = np.argsort(rest, kind="stable")
+        first = np.flatnonzero(np.diff(rest[order], prepend=-1))
+        many = np.diff(np.append(first, len(order)))
+        rank = np.empty(len(sizes), "i8")
+        rank[order] = np.arange(len(order)) - np.repeat(first, many) + ranks[rest[order]]
+        ranks[rest[order][first]] += many
+        whole = seen + np.cumsum(full) - full
+        bounds = np.concatenate([[0], 4 * np.cumsum(sizes)])
+        for i in range(0, len(sizes), 1024):  # small batches for the writer
+            j = min(len(sizes), i + 1024)
+            part = ids[bounds[i] // 4 : bounds[j] // 4]
+            blobs = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((bounds[i : j + 1] - bounds[i]).astype("<i4").tobytes()), pa.py_buffer(part.astype("<u4").tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [b.column("key"), pa.array(ids, pa.binary()), pa.array([task] * n, pa.int64()), pa.array(starts, pa.int64()), pa.array(places, pa.int64())],
-                names=["key", "ids", "task", "whole", "rank"],
+                [keys.slice(i, j - i), blobs, pa.array(np.full(j - i, task)), pa.array(whole[i:j]), pa.array(rank[i:j])], names=["key", "ids", "task", "whole", "rank"]
             )
+        return seen + int(full.sum())
+
+    def run(batches):
+        task, whole, ranks = TaskContext.get().partitionId(), 0, np.zeros(window, "i8")
+        for some in by_bytes(batches, TEXT_BYTES):
+            whole = yield from made(task, some, whole, ranks)
 
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("ids", T.BinaryType())] + [T.StructField(c, T.LongType()) for c in ("task", "whole", "rank")])
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
@@ -219,7 +271,11 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, key: s
         F.col("task").alias("t"),
         (F.col("before") + F.sum("full").over(Window.partitionBy("blk").orderBy("task")) - F.col("full")).alias("whole_before"),
     )
-    placed = ranks_before.join(whole_before, "t")
+    # one row a task, at most window pairs of longs in it
+    per_rest = ranks_before.groupBy("t").agg(F.collect_list(F.struct("r", "rank_before")).alias("rests"))
+    placed = per_rest.join(whole_before.withColumnRenamed("t", "u"), F.col("t") == F.col("u")).drop("u")
+    if tally.count() * 24 <= BROADCAST_BYTES:
+        placed = F.broadcast(placed)
     shared = spark.sparkContext.broadcast(table)  # at most a few rows for each length and pattern
 
     def place(batches):
@@ -236,8 +292,9 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, key: s
             yield pa.RecordBatch.from_arrays([b.column(c) for c in b.schema.names if c not in ("rest", "rank")] + [pa.array(seq), pa.array(off)], names=[c for c in b.schema.names if c not in ("rest", "rank")] + ["seq", "off"])
 
     ready = cut.withColumn("tokens", size.cast("long")).withColumn("rest", F.col("tokens") % window)
-    ready = ready.join(placed, (F.col("task") == F.col("t")) & (F.col("rest") == F.col("r")))
-    ready = ready.select("key", "ids", "tokens", "rest", (F.col("rank") + F.col("rank_before")).alias("rank"), (F.lit(base) + F.col("whole") + F.col("whole_before")).alias("first"))
+    ready = ready.join(placed, F.col("task") == F.col("t"))
+    rank_before = F.element_at("rests.rank_before", F.array_position("rests.r", F.col("rest")).cast("int"))
+    ready = ready.select("key", "ids", "tokens", "rest", (F.col("rank") + rank_before).alias("rank"), (F.lit(base) + F.col("whole") + F.col("whole_before")).alias("first"))
     schema = T.StructType([f for f in ready.schema.fields if f.name not in ("rest", "rank")] + [T.StructField("seq", T.LongType()), T.StructField("off", T.LongType())])
     ready = ready.mapInArrow(place, schema)
     pieces = ready.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / window).cast("long"))).alias("k"))
