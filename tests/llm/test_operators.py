@@ -58,6 +58,33 @@ def test_packing(spark, texts):
     assert packing.pack(table(spark, texts).limit(0), path).count() == 0
 
 
+def test_packing_tokenizer():
+    """A batch's ids are the library's, whatever the characters, and so is every word of the vocabulary."""
+    import pyarrow as pa
+
+    w, rng = packing.tokenizer(tokenizer_path("word_bpe_49k.json")), random.Random(1)
+    assert w.own
+    parts = ["a", "B", "'s", "don't", " ", "\u0085", "\xa0", "\x1c", "é", "İ", "ß", "Σ", "ς", "漢", "\n", "\t", "12", "²", "½", "_", "!...", "<|endoftext|>", "<|end", "e\u0301", "ﬁ", "\U0001f642", "\u3000", "ª", "µ", "×", "ŉ", "Ⱥ", "ɐ", "''", "'LL", "\x00", "x" * 50, "the", "ing", "$$"]
+    texts = ["", *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)), *w.tok.get_vocab()]
+    sizes, flat = w(pa.array(texts, pa.string()))
+    got = np.split(flat, np.cumsum(sizes)[:-1])
+    for x, ids, e in zip(texts, got, w.tok.encode_batch(texts, add_special_tokens=False)):
+        assert ids.tolist() == e.ids, x
+    other = packing.tokenizer(tokenizer_path("byte_bpe_50k.json"))  # of another kind: whole texts go to the library
+    sizes, flat = other(pa.array(["Hello  there", "", "x"]))
+    assert not other.own and np.split(flat, np.cumsum(sizes)[:-1])[0].tolist() == other.tok.encode("Hello  there", add_special_tokens=False).ids
+
+
+def test_packing_padding(spark):
+    """Equal lengths, ties and clashing columns: no sequence overflows, little is padded."""
+    rng = random.Random(6)
+    rows = [*((i, "the " * 511) for i in range(40)), *((100 + i, "the " * rng.randrange(1, 3000)) for i in range(300))]
+    got = packing.pack(table(spark, rows).withColumn("ids", F.lit(1)).withColumn("seq", F.lit(2)), tokenizer_path("word_bpe_49k.json")).toPandas()
+    used = got.groupby("sequence_id").length.sum()
+    assert used.max() <= 2048 and len(used) <= -(-used.sum() // 2048) + 3  # of about 240
+    assert got.length.sum() == sum(len(t.split()) + 1 for _, t in rows)
+
+
 def test_best_fill():
     assert packing.best_fill({5: 2, 3: 1}, 10) == {5: 2}
     assert packing.best_fill({7: 1, 6: 1, 5: 1}, 11) == {6: 1, 5: 1}
@@ -222,7 +249,7 @@ def test_jaccard_copy_without_key(spark):
     assert {r.doc_id: r.component_id for r in got} == {None: None, 5: 5, 6: 5, 7: 7}
 
 
-@pytest.mark.parametrize("options", [{}, {"group_rows": 5, "run_symbols": 300}])
+@pytest.mark.parametrize("options", [{}, {"group_rows": 5, "run_rows": 30}, {"group_rows": 5, "anchor_rows": 0, "run_rows": 30}])
 def test_substrings(spark, texts, options):
     rng = random.Random(2)
     base = ["".join(rng.choice("abcdé ") for _ in range(60)) for _ in range(12)]
@@ -234,7 +261,52 @@ def test_substrings(spark, texts, options):
     assert substrings.remove_repeats(table(spark, texts).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"group_rows": 2, "run_symbols": 300}])
+@pytest.mark.parametrize("options", [{}, {"group_rows": 8, "anchor_rows": 0, "run_rows": 50}])
+def test_substrings_of_200_bytes(spark, texts, options):
+    """At the contract's size: a header that all share, a shorter line in different
+    surroundings, near copies, a text longer than a slab, bytes of several letters."""
+    rng = random.Random(21)
+    some = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    header, line, page = some(700), some(130), some(1500)
+    rows = [*texts, *((100 + i, header + some(300)) for i in range(30)), *((200 + i, some(rng.randrange(300)) + line + some(200)) for i in range(40))]
+    for i in range(25):
+        near = list(page)
+        for _ in range(rng.randrange(4)):
+            near[rng.randrange(len(near))] = "#"
+        rows.append((300 + i, "".join(near)))
+    rows.append((400, some(70_000) + page[:450] + some(70_000) + header[100:350]))
+    got = substrings.remove_repeats(table(spark, rows).repartition(2), size=200, **options)
+    got = {r[0]: tuple(r)[1:] for r in got.withColumn("kept", F.sha2("kept", 256)).collect()}
+    assert got == brute.repeated_bytes(dict(rows), 200)
+
+
+def test_substrings_of_equal_keys(spark):
+    """Each row is a document of its own, also where keys, or keys and texts, repeat; keys of any type."""
+    rng = random.Random(22)
+    a, b, c = ("".join(rng.choice("abcdef") for _ in range(80)) for _ in range(3))
+    docs = spark.createDataFrame([("k", a + b), ("k", b + c), ("m", c), ("n", a), ("n", a), ("o", "x" + c)], "doc_id string, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in substrings.remove_repeats(docs, size=24).collect())
+    assert got == [("k", 160, 160), ("k", 160, 160), ("m", 80, 80), ("n", 80, 80), ("n", 80, 80), ("o", 81, 80)]
+
+
+def test_substrings_rows_of_an_anchor():
+    """A line in different surroundings: an anchor sends a bounded number of rows from a chunk."""
+    import pyarrow as pa
+
+    rng = random.Random(23)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    line = some(130)
+    raw = [(some(150) + line + some(150)).encode() for _ in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(range(500)), pa.array(raw)], names=["id1", "id2", "raw"])
+    for most in (8, 10_000):
+        out = pa.Table.from_batches(substrings._located(200, most)(iter([batch])))
+        rows = out.to_pandas()
+        most_rows = rows[rows.kind == 1].groupby("ah").size().max()
+        assert most_rows <= 8 if most == 8 else most_rows > 100
+        assert (rows[rows.kind == 0].shape[0]) == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"group_rows": 1, "run_rows": 3}])
 def test_substrings_of_rows_without_key(spark, options):
     rng = random.Random(4)
     some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
@@ -260,3 +332,19 @@ def test_suffix_array():
     for _ in range(500):
         s = [rng.randrange(rng.choice([1, 2, 3, 8])) for _ in range(rng.randrange(40))]
         assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+    for n, letters in ((3000, 2), (3000, 500), (2000, 1)):
+        s = [rng.randrange(letters) for _ in range(n)]
+        assert suffix_array(s) == sorted(range(n), key=lambda i: s[i:])
+
+
+def test_longest_matches():
+    from tidewheel.llm.suffixes import longest_matches
+
+    rng = random.Random(6)
+    for _ in range(60):
+        s = [rng.randrange(3) for _ in range(rng.randrange(1, 25))]
+
+        def same(i, j):
+            return next((k for k in range(len(s)) if max(i, j) + k >= len(s) or s[i + k] != s[j + k]), len(s))
+
+        assert longest_matches(s) == [max((same(i, j) for j in range(len(s)) if j != i), default=0) for i in range(len(s))]
