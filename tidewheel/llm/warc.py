@@ -26,7 +26,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import bounded_batches, scratch_path, written
+from ._util import BROADCAST_BYTES, bounded_batches, scratch_path, written
 
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string, refers_to long"
 _DATE = "2024-01-01T00:00:00Z"  # archives of equal pages are equal
@@ -68,17 +68,23 @@ def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def deduplicated(pages: DataFrame, key: str, url: str, payload: str, least: int) -> DataFrame:
-    """Rows page_id, url, payload, digest, refers_to. Only keys and digests are aggregated."""
+    """Rows page_id, url, payload, digest, refers_to.
+
+    Only keys and digests are aggregated and joined, so the copies of a very common page are
+    slim rows. What a page refers to then meets its payload by page, a key that is never hot;
+    that side is broadcast behind a count, so as a rule no payload is shuffled."""
     rows = pages.select(
         F.col(key).cast("long").alias("page_id"),
         F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), "[\\r\\n]", " ").alias("url"),
         F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
-    big = F.octet_length("payload") >= least
-    copies = rows.where(big).groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(copies, (F.col("digest") == F.col("d")) & big, "left").select(
-        "page_id", "url", "payload", "digest", F.when(F.col("kept") != F.coalesce("page_id", F.col("kept") - 1), F.col("kept")).alias("refers_to")
-    )
+    slim = rows.where(F.octet_length("payload") >= least).select("page_id", "digest")
+    kept = slim.groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "kept")
+    refers = slim.join(kept, F.col("digest") == F.col("d")).where(F.col("kept") != F.coalesce("page_id", F.col("kept") - 1))
+    refers = written(refers.select(F.col("page_id").alias("p"), "d", F.col("kept").alias("refers_to")).distinct(), "warc-refers")
+    if refers.count() * 128 <= BROADCAST_BYTES:
+        refers = F.broadcast(refers)
+    return rows.join(refers, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
@@ -122,8 +128,12 @@ def coalesced(rows: list[dict], gap: int, most: int) -> list[list[dict]]:
     return runs
 
 
-def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
-    """The selected records: their header fields and payload (null for revisits)."""
+def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 8 << 20, task_bytes: int = 64 << 20) -> DataFrame:
+    """The selected records: their header fields and payload (null for revisits). Ranges of
+    records are dealt out by place, to at least as many tasks as there are archives, and to
+    one for each ``task_bytes`` that are to be read."""
+    files, size = index.agg(F.count_distinct("file"), F.sum("length")).first()
+    tasks = max(1, files, -(-(size or 0) // task_bytes))
 
     def run(batches):
         fs, _ = filesystem(folder)
@@ -154,7 +164,7 @@ def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, most: int =
         if handle:
             handle.close()
 
-    chosen = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    chosen = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return chosen.mapInArrow(run, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 
 
