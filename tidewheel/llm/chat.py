@@ -59,6 +59,11 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
     return turns
 
 
+def masked(formatted: str, spans: list[list[int]]) -> list[str]:
+    """The texts under a mask of a formatted string, unescaped."""
+    return [unescape(formatted[a:b]) for a, b in spans]
+
+
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[str, str, int, int]]]:
     """The formatted string and its turns as the parser reads them back."""
     safe = [bool(_FIXED.search(text)) for _, text in turns]
@@ -95,13 +100,15 @@ OUTPUT = T.StructType(
         T.StructField("roles", T.ArrayType(T.StringType())),
         T.StructField("texts", T.ArrayType(T.StringType())),
         T.StructField("loss_spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
+        T.StructField("loss_texts", T.ArrayType(T.StringType())),
     ]
 )
 
 
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: its key, the formatted string, and as read back from it the
-    roles, the texts and the code-point spans of the string that carry loss."""
+    roles, the texts, the code-point spans of the string that carry loss, and the texts under
+    those spans. A conversation is one string, so its turns meet in one row."""
     bounded_batches(rows.sparkSession)
     grouped = rows.groupBy(F.col(conv).alias("key")).agg(
         F.array_sort(F.collect_list(F.struct(F.col(turn).alias("n"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")))).alias("turns")
@@ -111,13 +118,15 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     def run(batches):
         for b in batches:
             made = [render([(t["role"], t["text"]) for t in turns]) for turns in b.column("turns").to_pylist()]
+            masks = [[[t[2], t[3]] for t in back if t[0] == loss_role] for _, back in made]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("key"),
                     pa.array([f for f, _ in made], pa.string()),
                     pa.array([[t[0] for t in back] for _, back in made], pa.list_(pa.string())),
                     pa.array([[t[1] for t in back] for _, back in made], pa.list_(pa.string())),
-                    pa.array([[[t[2], t[3]] for t in back if t[0] == loss_role] for _, back in made], pa.list_(pa.list_(pa.int32()))),
+                    pa.array(masks, pa.list_(pa.list_(pa.int32()))),
+                    pa.array([masked(f, m) for (f, _), m in zip(made, masks)], pa.list_(pa.string())),
                 ],
                 names=["key", *OUTPUT.names],
             )

@@ -32,7 +32,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii", lambda s: s["kind"].isin(*KINDS[:4]))
     return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", *[of_kind(F.col("pii"), k).alias(f"n_{k}") for k in KINDS[:4]],
-        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"),
     )
 
 
@@ -63,7 +63,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     made = format_chats(rows.unionByName(extra))
     turns = F.concat_ws("", F.transform(F.arrays_zip("roles", "texts"), lambda t: F.concat(t.roles, F.lit("\n"), t.texts, F.lit("\n"))))
-    loss = F.concat_ws("", F.transform(F.filter(F.arrays_zip("roles", "texts"), lambda t: t.roles == "assistant"), lambda t: t.texts))
+    loss = F.concat_ws("", "loss_texts")
     return made.select(
         "conv_id", F.size("roles").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
         F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
