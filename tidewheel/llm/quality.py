@@ -3,7 +3,8 @@
 Rule statistics are taken per document. Failures are summed by host, each host's failure
 rate is shrunk towards the corpus with a beta prior fitted to the hosts' rates by moments,
 and the host's verdict is joined back: a document goes when it fails a base rule itself or
-when its host's shrunk failure rate is above ``host_limit``.
+when its host's shrunk failure rate is above ``host_limit``, by default one half: more of the
+host's documents are expected to fail than to pass.
 
 Defined results: null text has no words, fails the word-count rule; rows with a null host
 form no host and get no host verdict; repeated rows count as they come; an empty table gives
@@ -68,11 +69,13 @@ def base_failed(min_words: int = 50, repeat_percent: int = 50):
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
 
 
-def host_verdicts(rated: DataFrame, host: str, failed: str, host_limit: float) -> DataFrame:
+def host_verdicts(rated: DataFrame, host: str, failed: str, host_limit: float, weights: tuple[float, float]) -> DataFrame:
     """One row per host: documents, failures, shrunk rate, verdict.
 
     The beta prior is fitted by moments over hosts: with mean m and variance v of the raw
-    rates, its weight is m(1-m)/v - 1, kept between 1 and 1000 (1000 where the rates agree).
+    rates, its weight in documents is m(1-m)/v - 1, kept between ``weights``: at least the
+    first, so that a host of a few documents isn't judged by them alone, and at most the
+    second, as where the rates agree, so that a host's own documents always count.
     """
     hosts = written(
         rated.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("__host")).agg(
@@ -83,12 +86,12 @@ def host_verdicts(rated: DataFrame, host: str, failed: str, host_limit: float) -
     rate = F.col("host_failed") / F.col("host_docs")
     m, v = hosts.agg(F.sum("host_failed") / F.sum("host_docs"), F.var_pop(rate)).first()  # one row
     m, v = m or 0.0, v or 0.0
-    w = 1000.0 if v <= 0 else min(1000.0, max(1.0, m * (1 - m) / v - 1))
+    w = weights[1] if v <= 0 else min(weights[1], max(weights[0], m * (1 - m) / v - 1))
     shrunk = (F.col("host_failed") + w * m) / (F.col("host_docs") + w)
     return hosts.select("__host", "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk > host_limit).alias("host_bad"))
 
 
-def quality(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = 0.5, keep_text: bool = False) -> DataFrame:
+def quality(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = 0.5, keep_text: bool = False, weights: tuple[float, float] = (1.0, 1000.0)) -> DataFrame:
     """Statistics, ``base_failed``, ``host_rate`` and ``kept`` for every row.
 
     Host failures are pre-aggregated, so a host with a third of all rows is a few partial
@@ -99,7 +102,7 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", host_limi
     rated = with_stats(docs.drop("base_failed", "host_rate", "kept", "host_bad", "host_docs", "host_failed"), text, keep_text).withColumn("base_failed", base_failed())
     if not keep_text:
         rated = written(rated, "quality")
-    verdicts = host_verdicts(rated, host, "base_failed", host_limit)
+    verdicts = host_verdicts(rated, host, "base_failed", host_limit, weights)
     return (
         rated.join(verdicts, F.col(host) == F.col("__host"), "left")
         .drop("__host", "host_docs", "host_failed")
