@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,11 +16,14 @@ BROADCAST_BYTES = 32 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one is set only where none is named."""
+    """The shared folder that the cluster names. A session on one machine, as in tests, may do
+    without: there a local folder serves. The setting itself is never written."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/tidewheel-scratch"
-        spark.conf.set("spark.checkpoint.dir", base)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/tidewheel-scratch"
     return base.rstrip("/") + "/tidewheel"
 
 

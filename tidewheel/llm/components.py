@@ -9,7 +9,10 @@ from ._util import discard, written
 
 
 def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+    """A set's size and two sums of 64-bit hashes over it, in full, so that two states agree
+    only where the sets do."""
+    whole = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
+    return tuple(e.agg(F.count(F.lit(1)), whole("u", "v"), whole(F.lit(1), "v", "u")).first())
 
 
 def components(edges: DataFrame) -> DataFrame:

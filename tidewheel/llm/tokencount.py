@@ -12,7 +12,8 @@ distinct pre-tokens, once each, to the bucket of their hash, and keeps each docu
 frequencies as arrays of (place, count). A bucket counts the pieces of each distinct
 pre-token once and answers every block with an array of counts in the order asked. So no
 shuffle carries a row per word, a hot pre-token is one entry per block, and memory is bounded
-by a block or by a bucket, whose number grows with the input.
+by a block, or by what a bucket keeps. Buckets grow with the input up to 4,096, since each
+block sends a row to each; beyond that a bucket forgets when it holds ``keep`` pre-tokens.
 
 Defined results: null or empty text has no tokens; repeated rows are counted each; an empty
 table gives an empty result; columns other than the key and the text are not read.
@@ -140,14 +141,17 @@ def _asked(key_type, n_buckets, block_bytes):
     return run
 
 
-def _answered(model_path):
-    """Counts of the pre-tokens that blocks ask for; each distinct one is encoded once here."""
+def _answered(model_path, keep):
+    """Counts of the pre-tokens that blocks ask for; each distinct one is encoded once here,
+    or once for every ``keep`` distinct ones where a bucket has more, so that memory is bounded."""
 
     def run(batches):
         m, known = model(model_path), {}
         for b in batches:
             got = []
             for tokens in b.column("tokens").to_pylist():
+                if len(known) > keep:
+                    known = {}
                 if new := [t for t in tokens if t not in known]:
                     known.update(zip(new, count_pieces(m, new).tolist()))
                 got.append(_squeeze(np.array([known[t] for t in tokens])))
@@ -184,7 +188,7 @@ def _summed(key_type):
     return run
 
 
-def token_counts(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", block_bytes: int = 16 << 20, keep: int = 1 << 20) -> DataFrame:
     """Columns key, n_bytes (UTF-8) and n_tokens for every row of ``docs``."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -210,7 +214,7 @@ def token_counts(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
     )
     answers = (
         asked.where("bucket >= 0").select("block", "bucket", "tokens").repartition(n_buckets, "bucket")
-        .mapInArrow(_answered(model_path), "block long, bucket int, counts binary")
+        .mapInArrow(_answered(model_path, keep), "block long, bucket int, counts binary")
     )
     both = asked.where("bucket < 0").select("block", "bucket", "keys", "sizes", "parts").unionByName(answers, allowMissingColumns=True)
     return (
