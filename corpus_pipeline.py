@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm._util import table, written
+from tidewheel.llm._util import discard, table, written
 from tidewheel.llm.decontaminate import contamination, is_contaminated
 from tidewheel.llm.jaccard import jaccard_components
 from tidewheel.llm.packing import pack
@@ -20,8 +20,13 @@ from tidewheel.llm.queries import END_ID, WINDOW, tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules and whose host does."""
-    return quality(docs, keep_text=True).where("kept").select(*docs.columns)
+    """Documents that pass the quality rules and whose host does. Null and empty texts fail;
+    repeated rows are judged, and stay, each; a null host gets no verdict; columns of any name
+    come through as they are."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+    kept = quality(plain, names["text"], names["source"], keep_text=True).where("kept")
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -31,7 +36,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: that with the least id, null last. Rows are told apart by more than
-    their ids, so only copies go; of rows without words, those that repeat an id and its text."""
+    their ids, so only copies go; of rows without words, those that repeat an id and its text.
+    Other columns are carried."""
     rows = _numbered(docs)
     blank = F.when(~F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.col("text")).alias("blank")
     found = jaccard_components(rows, key="__row").join(rows.select("__row", "doc_id", blank), "__row")
@@ -43,14 +49,16 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover less than a twentieth."""
+    """Documents of which benchmark windows cover less than a twentieth. Rows are judged each,
+    whatever their ids; null and empty texts hold no window and stay; other columns are carried."""
     rows = _numbered(docs)
     hit = contamination(rows, table(spark, sf_dir, "benchmark"), key="__row").where(is_contaminated()).select("__row")
     return rows.join(hit, "__row", "leftanti").select(*docs.columns)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its personal data replaced by the kind's name."""
+    """Every document, its personal data replaced by the kind's name; null texts stay null,
+    ``n_chars`` follows the text, other columns are carried."""
     clean = redact(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -58,7 +66,8 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences, with the checksum of their ids."""
+    """Pieces of all documents in sequences, with the checksum of their ids. Null texts are
+    empty; repeated rows are packed each; other columns are not read."""
     return pack(docs, tokenizer_path("word_bpe_49k.json"), WINDOW, END_ID).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
@@ -79,5 +88,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
