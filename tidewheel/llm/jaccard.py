@@ -8,18 +8,26 @@ pair by pair where the token is not frequent: below the lesser of the two prefix
 their common tokens are among these, so the count and what lies beyond bound the overlap, and
 few pairs that only share a passage pass. Frequent tokens, which stand in a prefix only where
 nearly all of a document is frequent, join their documents without pairs. The connected
-documents form candidate groups. In a group, pairs that meet under the first order must also share a prefix token
-under a second and a third order (other mixes of the hash) and have lengths that allow the
-threshold; only then are the sets compared, exactly.
+documents form candidate groups. In a group, pairs that meet under the first order must also
+share a prefix token under a second and a third order (other mixes of the hash) and have
+lengths that allow the threshold; only then are the sets compared, exactly.
 
 Only components are asked for, so a pair that is already connected is not compared: in a
-group of near copies one comparison connects a member. Groups beyond ``group_rows`` are cut
-into blocks, and every pair of blocks is a task, so no task holds an unbounded group and no
-link is lost. Equal sets are met once per task of the scan and linked by their digest.
+group of near copies one comparison connects a member. Equal sets are linked by their digest
+and stand for one another before any of this.
+
+A group beyond ``group_rows`` goes through two rounds first. In each its members are dealt out
+by the first token of their set under one of the further orders, which near copies mostly
+share, in blocks of bounded size, and compared there. What is connected after that need not
+meet again: members are cut into blocks by component, and only pairs of blocks of different
+components, or of the small ones, become tasks. So a group of near copies costs a few rounds of
+its size, no task holds an unbounded group, and no link is lost.
 
 The frequent tokens are at most ``hot_tokens``, the bound of the one broadcast array: the
 least count that makes a token frequent is doubled until they fit. Any choice is right, it
-only moves work. Which documents are candidates is broadcast behind a check of its size.
+only moves work: a token that stands in more than ``pair_rows`` prefixes joins its documents
+without pairs too, whatever its count. Which documents are candidates is broadcast behind a
+check of its size.
 
 Defined results: null text or no words gives the empty set, linked with nothing; fewer words
 than ``n`` make one shingle of all; rows of one key and equal text are one document; a null
@@ -158,10 +166,11 @@ def frequent_tokens(docs: DataFrame, n: int, least: int, hot_tokens: int) -> tup
 class _Group:
     """Sets of one task's documents; linked ones are joined."""
 
-    def __init__(self, sets: list[np.ndarray], firsts: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], firsts: list[np.ndarray], percent: int, known: np.ndarray):
         self.sets, self.firsts, self.percent = sets, firsts, percent
         self.n = np.array([len(s) for s in sets])
-        self.root = np.arange(len(sets))
+        _, first, which = np.unique(known, return_index=True, return_inverse=True)
+        self.root = first[which]  # members of one known component are connected
         self.others: list = [None] * len(sets)
         self.done: set[tuple[int, int]] = set()
 
@@ -225,15 +234,11 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, least: int = 8, hot_tokens: int = 1 << 19, group_rows: int = 4096) -> DataFrame:
-    """Columns key, n_shingles, component_id (the least key reachable by links, itself included)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(frequent_tokens(own, n, least, hot_tokens))
+def _scanned(n: int, percent: int, shared):
+    """Per document: set size, digest, and its prefix under the first order with what is frequent."""
 
-    def scanned(batches):
-        seen, (hot, rank) = set(), shared.value
+    def run(batches):
+        hot, rank = shared.value
         for b in batches:
             sizes, digests, prefixes, hots, rares, lasts = [], [], [], [], [], []
             for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
@@ -241,13 +246,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 sizes.append(len(s))
                 digests.append(d)
-                if k is None or not len(s) or d in seen:  # its first copy with a key in this task stands for it
+                if k is None or not len(s):
                     prefixes.append(np.empty(0, "i8"))
                     hots.append(np.empty(0, "bool"))
                     rares.append(0)
                     lasts.append(0)
                     continue
-                seen.add(d)
                 at, r = rare_first(s, hot, rank)
                 at = at[: prefix_length(len(s), percent)]
                 prefixes.append(s[at].astype("i8"))
@@ -259,80 +263,166 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (prefixes, hots)]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *lists, pa.array(rares, pa.int64()), pa.array(lasts, pa.int64())], names=["key", "n", "digest", "prefix", "hot", "rare", "last"])
 
-    scan = written(own.mapInArrow(scanned, "key long, n long, digest binary, prefix array<long>, hot array<boolean>, rare long, last long"), "jaccard")
-    real = scan.where(F.col("key").isNotNull() & (F.col("n") > 0))
-    # a frequent token's documents are dealt to salted parts, whose least members then meet
-    met = real.select("key", "n", "rare", "last", F.explode(F.arrays_zip("prefix", "hot")).alias("t")).select(
-        F.col("t.prefix").alias("token"), F.when(F.col("t.hot"), F.pmod(F.xxhash64("key"), F.lit(64))).otherwise(-1).alias("salt"), "key", "n", "rare", "last"
-    )
-    same_token = Window.partitionBy("token", "salt")
-    met = met.withColumn("lead", F.min("key").over(same_token)).withColumn("most", F.max("key").over(same_token))
-    met = written(met.where((F.col("lead") != F.col("most")) | (F.col("salt") >= 0)).drop("most"), "jaccard-met")
-    stars = met.where("salt >= 0").select(F.col("key").alias("a"), F.col("lead").alias("b"), "token")
-    heads = stars.where("a = b").select("token", "a").distinct()
-    heads = heads.withColumn("b", F.min("a").over(Window.partitionBy("token")))  # at most one row a salt
-    rare = met.where("salt < 0")
-    x, y = (rare.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "rare", "last")]) for side in "xy")
-    sized = (F.col("key_x") < F.col("key_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-    met_in = x.join(y, (x["token"] == y["token"]) & sized).groupBy("key_x", "key_y").agg(F.count(F.lit(1)).alias("c"), *[F.max(f"{c}_{s}").alias(f"{c}_{s}") for c in ("n", "rare", "last") for s in "xy"])
-    beyond = F.when(F.col("last_x") <= F.col("last_y"), F.col("n_x") - F.col("rare_x")).otherwise(F.col("n_y") - F.col("rare_y"))
-    enough = (100 + percent) * (F.col("c") + beyond) >= percent * (F.col("n_x") + F.col("n_y"))
-    close = met_in.where(enough).select(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
-    groups = components(close.unionByName(stars.select("a", "b").distinct()).unionByName(heads.select("a", "b")))
-    # every member of a group, roots too, with its block if the group is large
-    members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group_rows).select("root", F.ceil(F.col("size") / group_rows).cast("int").alias("blocks"))
-    members = written(
-        members.join(sizes, "root", "left").select("node", "root", F.coalesce("blocks", F.lit(1)).alias("blocks")), "jaccard-groups"
-    )
+    return run
+
+
+def _firsts(n: int):
+    """The first token of each set under each further order."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t, n) for t in b.column("text").to_pylist()]
+            for o, m in enumerate(_ORDERS):
+                token = np.array([int(s[np.argmin(s * m)]) for s in sets], "u8").astype("i8")
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("root"), pa.array(np.full(len(sets), o, "i4")), pa.array(token)], names=["node", "root", "turn", "token"])
+
+    return run
+
+
+_SETS = "root long, i long, j long, node long, known long, tokens binary, first binary"
+
 
-    def sets(batches):
+def _sets(n: int, percent: int, shared):
+    """The sets of documents, with their prefixes, for each pair of blocks (i, j) that they are in."""
+
+    def run(batches):
         hot, rank = shared.value
         for b in batches:
             out = []
-            for node, root, blocks, t in zip(*(b.column(c).to_pylist() for c in ("node", "root", "blocks", "text"))):
+            for node, root, known, pairs, t in zip(*(b.column(c).to_pylist() for c in ("node", "root", "known", "pairs", "text"))):
                 s = shingle_set(t, n)
-                first = s[rare_first(s, hot, rank)[0][: prefix_length(len(s), percent)]]
-                mine = xxhash.xxh3_64_intdigest(str(node)) % blocks
-                for other in range(blocks):
-                    out.append((root, min(mine, other), max(mine, other), node, s.tobytes(), first.tobytes()))
+                first = s[rare_first(s, hot, rank)[0][: prefix_length(len(s), percent)]].tobytes()
+                out += [(root, p["i"], p["j"], node, known, s.tobytes(), first) for p in pairs]
+                if len(out) >= 1000:
+                    yield _batch(out)
+                    out = []
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["root", "i", "j", "node", "tokens", "first"])
-
-    def linked(batches):
-        def done(nodes, tokens, firsts):
-            if len(nodes) < 2:
-                return [], []
-            g = _Group([np.frombuffer(x, "u8") for x in tokens], [np.frombuffer(x, "u8") for x in firsts], percent)
-            root = g.run()
-            mine = np.flatnonzero(root != np.arange(len(root)))
-            return [nodes[k] for k in mine], [nodes[k] for k in root[mine]]
-
-        at, held = None, ([], [], [])
+                yield _batch(out)
+
+    return run
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (*[pa.int64()] * 5, pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _SETS.split(", ")])
+
+
+def _linked(percent: int):
+    """Links found in each group of sorted rows."""
+
+    def done(nodes, known, tokens, firsts):
+        if len(set(known)) < 2:
+            return [], []
+        g = _Group([np.frombuffer(x, "u8") for x in tokens], [np.frombuffer(x, "u8") for x in firsts], percent, np.array(known))
+        root = g.run()
+        mine = np.flatnonzero(root != np.arange(len(root)))
+        return [nodes[k] for k in mine], [nodes[k] for k in root[mine]]
+
+    def run(batches):
+        at, held = None, ([], [], [], [])
         for b in batches:
             a, c = [], []
-            for r in zip(*(b.column(x).to_pylist() for x in ("root", "i", "j", "node", "tokens", "first"))):
+            for r in zip(*(b.column(x).to_pylist() for x in ("root", "i", "j", "node", "known", "tokens", "first"))):
                 if r[:3] != at:
                     x, y = done(*held)
                     a += x
                     c += y
-                    at, held = r[:3], ([], [], [])
-                for k in range(3):
+                    at, held = r[:3], ([], [], [], [])
+                for k in range(4):
                     held[k].append(r[3 + k])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
         x, y = done(*held)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    texts = own.join(_sized(members), F.col("key") == F.col("node")).select("node", "root", "blocks", "text")
-    found = (
-        texts.mapInArrow(sets, "root long, i int, j int, node long, tokens binary, first binary")
-        .repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(linked, "a long, b long")
+    return run
+
+
+def _blocked(members: DataFrame, group_rows: int) -> DataFrame:
+    """Members (node, root, known) of large groups with the pairs of blocks that they are in.
+    Blocks of the small components are numbered first, then those of each large one."""
+    sizes = members.groupBy("root", "known").agg(F.count(F.lit(1)).alias("k"))
+    large = F.col("k") >= group_rows
+    groups = sizes.groupBy(F.col("root").alias("r")).agg(
+        F.count(F.lit(1)).alias("comps"),
+        F.ceil(F.coalesce(F.sum(F.when(~large, F.col("k"))), F.lit(0)) / group_rows).cast("long").alias("pool"),
+        F.sort_array(F.collect_list(F.when(large, F.struct("known", F.ceil(F.col("k") / group_rows).cast("long").alias("blocks"))))).alias("large"),
+    ).where("comps > 1")  # at most one entry for each group_rows members; a connected group has nothing left to compare
+    met = members.join(groups, F.col("root") == F.col("r"))
+    own = F.array_position(F.transform("large", lambda c: c["known"]), F.col("known"))
+    before = lambda i: F.col("pool") + F.aggregate(F.slice("large", 1, i.cast("int")), F.lit(0).cast("long"), lambda a, c: a + c["blocks"])
+    met = met.withColumn("at", own).withColumn("total", before(F.size("large")))
+    mine = F.when(F.col("at") > 0, before(F.col("at") - 1) + F.pmod(F.xxhash64("node"), F.get("large", F.col("at").cast("int") - 1)["blocks"])).otherwise(
+        F.pmod(F.xxhash64("known"), F.col("pool"))
+    )
+    met = met.withColumn("mine", mine).withColumn("low", F.when(F.col("at") > 0, before(F.col("at") - 1))).withColumn("high", F.when(F.col("at") > 0, before(F.col("at"))))
+    every = F.filter(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), lambda o: F.col("low").isNull() | (o < F.col("low")) | (o >= F.col("high")))
+    pairs = F.transform(every, lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
+    return met.select("node", "root", "known", pairs.alias("pairs"))
+
+
+def jaccard_components(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, least: int = 8, hot_tokens: int = 1 << 19, group_rows: int = 4096, pair_rows: int = 256
+) -> DataFrame:
+    """Columns key, n_shingles, component_id (the least key reachable by links, itself included)."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    shared = spark.sparkContext.broadcast(frequent_tokens(own, n, least, hot_tokens))
+    scan = written(own.mapInArrow(_scanned(n, percent, shared), "key long, n long, digest binary, prefix array<long>, hot array<boolean>, rare long, last long"), "jaccard")
+    real = scan.where(F.col("key").isNotNull() & (F.col("n") > 0))
+    # the least key of equal sets stands for them
+    copies = real.groupBy("digest").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select(F.col("digest").alias("d"), "least")
+    same = written(real.select("key", "digest").join(copies, (F.col("digest") == F.col("d")) & (F.col("key") > F.col("least"))).select(F.col("key").alias("a"), F.col("least").alias("b"), "d").distinct(), "jaccard-same")
+    reps = real.join(_sized(same.select("a", "d")), (F.col("key") == F.col("a")) & (F.col("digest") == F.col("d")), "leftanti")
+    # a frequent token's documents are dealt to salted parts, whose least members then meet
+    met = reps.select("key", "n", "rare", "last", F.explode(F.arrays_zip("prefix", "hot")).alias("t")).select(
+        F.col("t.prefix").alias("token"), F.when(F.col("t.hot"), F.pmod(F.xxhash64("key"), F.lit(64))).otherwise(-1).alias("salt"), "key", "n", "rare", "last"
     )
-    copies = real.groupBy("digest").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    same = real.select("key", "digest").join(copies, "digest").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    classes = components(found.unionByName(same))
-    discard(met, members)
+    same_token = Window.partitionBy("token", "salt")
+    met = met.withColumn("lead", F.min("key").over(same_token)).withColumn("most", F.max("key").over(same_token)).withColumn("rows", F.count(F.lit(1)).over(same_token))
+    met = met.withColumn("star", (F.col("salt") >= 0) | (F.col("rows") > pair_rows))
+    met = written(met.where((F.col("lead") != F.col("most")) | (F.col("salt") >= 0)).drop("most", "rows", "salt"), "jaccard-met")
+    stars = met.where("star").select(F.col("key").alias("a"), F.col("lead").alias("b"), "token")
+    heads = stars.where("a = b").select("token", "a").distinct()
+    heads = heads.withColumn("b", F.min("a").over(Window.partitionBy("token")))  # at most one row a salt
+    rare = met.where("not star")
+    x, y = (rare.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "rare", "last")]) for side in "xy")
+    sized = (F.col("key_x") < F.col("key_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+    met_in = x.join(y, (x["token"] == y["token"]) & sized).groupBy("key_x", "key_y").agg(F.count(F.lit(1)).alias("c"), *[F.max(f"{c}_{s}").alias(f"{c}_{s}") for c in ("n", "rare", "last") for s in "xy"])
+    beyond = F.when(F.col("last_x") <= F.col("last_y"), F.col("n_x") - F.col("rare_x")).otherwise(F.col("n_y") - F.col("rare_y"))
+    enough = (100 + percent) * (F.col("c") + beyond) >= percent * (F.col("n_x") + F.col("n_y"))
+    close = met_in.where(enough).select(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
+    groups = components(close.unionByName(stars.select("a", "b").distinct()).unionByName(heads.select("a", "b")))
+    # every member of a group, roots too
+    members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group_rows).select(F.col("root").alias("r"), F.lit(True).alias("large"))
+    members = written(members.join(sizes, F.col("root") == F.col("r"), "left").select("node", "root", F.coalesce("large", F.lit(False)).alias("large")), "jaccard-groups")
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        """Links among (node, root, known, pairs)."""
+        texts = own.join(_sized(dealt), F.col("key") == F.col("node")).select("node", "root", "known", "pairs", "text")
+        sets = texts.mapInArrow(_sets(n, percent, shared), _SETS).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+        return sets.mapInArrow(_linked(percent), "a long, b long")
+
+    pair = lambda i, j: F.array(F.struct(i.cast("long").alias("i"), j.cast("long").alias("j")))
+    found, tables = compared(members.where("not large").select("node", "root", F.col("node").alias("known"), pair(F.lit(0), F.lit(0)).alias("pairs"))), []
+    crowd = members.where("large").select("node", "root")
+    if not crowd.isEmpty():
+        texts = own.join(_sized(crowd), F.col("key") == F.col("node")).select("node", "root", "text")
+        firsts = written(texts.mapInArrow(_firsts(n), "node long, root long, turn int, token long").distinct(), "jaccard-firsts")
+        block = F.pmod(F.xxhash64("node", "turn"), F.ceil(F.col("k") / group_rows))
+        many = firsts.groupBy("root", "turn", "token").agg(F.count(F.lit(1)).alias("k"))
+        rounds = firsts.join(many, ["root", "turn", "token"]).groupBy("node", F.col("node").alias("known")).agg(
+            F.collect_list(F.struct(F.xxhash64("root", "turn", "token").alias("i"), block.alias("j"))).alias("pairs")  # one a turn
+        )
+        near = written(compared(rounds.select("node", F.lit(0).cast("long").alias("root"), "known", "pairs")), "jaccard-near")
+        classes = components(near)
+        left = crowd.join(classes.withColumnRenamed("root", "class"), "node", "left").select("node", "root", F.coalesce("class", "node").alias("known"))
+        left = written(_blocked(left, group_rows), "jaccard-blocks")
+        found = found.unionByName(near).unionByName(compared(left))
+        tables = [firsts, near, left]
+    classes = components(found.unionByName(same.select("a", "b")))
+    discard(met, members, same, *tables)
     return scan.select("key", "n").join(classes, F.col("key") == F.col("node"), "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "key").alias("component_id")
     )
