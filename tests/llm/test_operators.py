@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.llm import chat, decontaminate, jaccard, packing, pii, quality, sharding, substrings, tokencount, warc
+from tidewheel.llm import chat, components, decontaminate, jaccard, packing, pii, quality, sharding, substrings, tokencount, warc
 from tidewheel.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, kept string, pii int, bits int, word string, host_bad int"
@@ -277,7 +277,7 @@ def test_warc(spark, tmp_path):
     assert warc.read_records(warc.archive(pages.limit(0), str(tmp_path / "e"))[0], folder).count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"group_rows": 3, "least": 2}])
+@pytest.mark.parametrize("options", [{}, {"group_rows": 3, "least": 2}, {"group_rows": 2, "least": 2, "hot_tokens": 1, "pair_rows": 1}])
 def test_jaccard(spark, texts, options):
     rng, rows = random.Random(11), list(texts)
     for g in range(6):
@@ -294,6 +294,32 @@ def test_jaccard(spark, texts, options):
     assert jaccard.jaccard_components(table(spark, rows).limit(0), **options).count() == 0
 
 
+def test_jaccard_of_large_groups(spark):
+    """A passage that all share, near copies of two texts that share it, and strays: a large
+    group in blocks, with more than one component in it."""
+    rng = random.Random(17)
+    passage, rows = words(rng, 60), []
+    one, two = passage + " " + words(rng, 20, 10**6), passage + " " + words(rng, 20, 10**6)
+    for i in range(60):
+        w = (one, two)[i % 2].split()
+        w[rng.randrange(len(w))] = f"z{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, passage + " " + words(rng, 14 + i % 6, 10**6)) for i in range(20)]
+    want = brute.components(dict(rows))
+    for options in ({}, {"group_rows": 12}, {"group_rows": 12, "hot_tokens": 1, "pair_rows": 4}):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, rows), **options).collect()}
+        assert got == want
+
+
+def test_components(spark):
+    """A hub, a long path, nulls, repeated edges, a node of its own, nothing."""
+    edges = [*((1000, i) for i in range(1001, 1200)), *((i, i + 1) for i in range(0, 120)), (None, 3), (5, None), (7, 8), (8, 7), (2000, 2000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = dict(map(tuple, components.components(df).collect()))
+    assert got == {**{i: 1000 for i in range(1001, 1200)}, **{i: 0 for i in range(1, 121)}}
+    assert components.components(df.limit(0)).count() == 0
+
+
 def test_jaccard_copy_without_key(spark):
     rng = random.Random(12)
     base = words(rng, 90)
