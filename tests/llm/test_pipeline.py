@@ -1,5 +1,7 @@
 """The pipeline's stages against plain-Python versions, on the smallest tables."""
 
+import re
+
 import brute
 
 import corpus_pipeline as cp
@@ -31,6 +33,36 @@ def test_stages(spark, sf):
     assert cp.run(spark, sf).toPandas().length.sum() == five.length.sum()
 
 
+def test_stages_carry_any_columns(spark, sf):
+    """Columns with the names that operators use come through each stage with their values."""
+    text = " ".join(f"w{i}" for i in range(60))
+    columns = ("host_bad", "host_docs", "kept", "n_words", "base_failed", "pii", "row", "w", "word", "key", "id1", "digest", "__host")
+    docs = spark.createDataFrame([(1, text, "en", "h", 5, *[f"{c}!" for c in columns])], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in columns))
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns, name
+        assert [tuple(r)[5:] for r in got.collect()] == [tuple(f"{c}!" for c in columns)], name
+
+
+def test_decontamination_by_brute_force(spark, sf):
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    words = lambda t: [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+    wins = {tuple(w[s : s + 13]) for b in bench if (w := words(b.text)) for s in range(max(1, len(w) - 12))}
+    by_size: dict = {}
+    for x in wins:
+        by_size.setdefault(len(x), set()).add(x)
+    clean = set()
+    for r in docs.collect():
+        w, hit = words(r.text), set()
+        for n, some in by_size.items():
+            for s in range(len(w) - n + 1):
+                if tuple(w[s : s + n]) in some:
+                    hit |= set(range(s, s + n))
+        if not (hit and 20 * len(hit) >= len(w)):
+            clean.add(r.doc_id)
+    assert {r.doc_id for r in cp.decontamination_stage(spark, docs, sf).collect()} == clean
+
+
 def test_decontamination_without_ids(spark, sf):
     item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
     clean = " ".join(f"w{i}" for i in range(60))
