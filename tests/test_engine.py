@@ -243,3 +243,32 @@ def test_smc_macro_refuses_priors_that_it_would_not_use(spark):
     prior = {"type": "uniform", "lower": 0.0, "upper": 1.0}
     with pytest.raises(ProgramError, match="one prior"):
         MACROS["smc_inference"](spark, None, {"name": "a", "priors": [prior, prior], "data": [1.0], "likelihood_variance": 1.0, "num_particles": 4, "num_rounds": 1})
+
+
+def test_streams_are_apart():
+    from tidewheel.functions.rng import stream
+
+    paths = [(1,), (1 + 2**32,), ("1",), ("wiener_process_1",), ("wiener_process_2",), ("x" * 90 + "a",), ("x" * 90 + "b",), ("ab", "c"), ("a", "bc"), (0, "a"), (0, 0, "a")]
+    assert len({stream(*p).random() for p in paths}) == len(paths)
+    assert stream(3, "a").random() == stream(np.int64(3), "a").random()
+
+
+def test_proposals_stay_inside():
+    from tidewheel.operators.inference import propose
+    from tidewheel.operators.likelihood import Prior
+
+    g = np.random.default_rng(1)
+    x = propose([Prior("uniform", 0.0, 1.0)], 500, g, np.array([-0.25, 0.01, 0.0]))  # a hundredth of its mass is inside
+    assert len(x) == 500 and (x >= 0).all() and x.mean() < 0.2  # and not the prior's draws
+
+
+def test_duckdb_sink(spark, tmp_path):
+    import duckdb
+
+    from tidewheel.sources.writers import write_duckdb
+
+    long = spark.createDataFrame([(0, "p", i, float(i), [float(i), 2.0]) for i in range(2500)], "series_id long, partition_name string, step long, time double, state array<double>").repartition(7)
+    for rows in (2500, 100):
+        write_duckdb(long.limit(rows), str(tmp_path / "x.duckdb"), "t", rows=1000)
+        with duckdb.connect(str(tmp_path / "x.duckdb")) as con:
+            assert con.execute("SELECT count(*), count(DISTINCT step), sum(state[2]) FROM t").fetchone() == (rows, rows, 2.0 * rows)

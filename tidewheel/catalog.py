@@ -19,7 +19,7 @@ from .operators.grouping import discover_groups, group_list, grouped_aggregation
 from .operators.kernels import Binned, Constant, Exponential, GaussianState, Instantaneous, Kernel, Periodic, Product, TDistributionState
 from .operators.regression import ols
 from .operators.rolling import rolling_covariance, rolling_covariance_pairs, rolling_mean, rolling_variance
-from .series import EMBEDDING, ID, STEP, TIME, DataRef, embeddings_by_label, events_by_type, events_by_user, lineitem_by_supplier, orders_by_customer, read_table, replace_partition, to_long, to_series, to_wide, validate_aligned, whole_embeddings_by_label
+from .series import EMBEDDING, ID, STEP, TIME, DataRef, embeddings_by_label, events_by_type, events_by_user, lineitem_by_supplier, orders_by_customer, read_table, replace_partition, seconds, to_long, to_series, to_wide, validate_aligned, whole_embeddings_by_label
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -225,6 +225,29 @@ for _name, _sql in (("count", "count"), ("sum", "sum"), ("mean", "avg"), ("min",
     _grouped(_name, DEPTH, _sql)
 
 
+def _kinds(spark, d):
+    code = F.when(F.col("event_type") == "click", 1.0).when(F.col("event_type") == "view", 2.0).otherwise(3.0)
+    return to_series(read_table(spark, d, "events"), F.col("user_id"), ["ts", "event_id"], seconds("ts"), {"value": F.col("value"), "kind": code})
+
+
+_KINDS = """u AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, epoch_us(ts) / 1e6 AS time, value, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS kind FROM events)"""
+
+
+def _weighted(name: str, kernel: Kernel, w: str, aggregation, sql: str):
+    ORACLE[name] = f"WITH {_KINDS}, {_GROUPS}, j AS (SELECT a.series_id, a.step, k, b.value AS x, {w} AS w FROM u a CROSS JOIN g LEFT JOIN u b ON b.series_id = a.series_id AND b.kind = k AND b.step BETWEEN a.step - {DEPTH} AND a.step) SELECT series_id, step, k AS key, CASE WHEN step >= 1 THEN round(coalesce({sql}, 0), 4) ELSE 0 END AS value FROM j GROUP BY series_id, step, k"
+    QUERIES[name] = lambda spark, d: grouped_aggregation(
+        _kinds(spark, d), ["value"], [["kind"]], aggregation, depth=DEPTH, groups=[[1], [2], [3]], kernel=kernel
+    ).select(ID, STEP, F.element_at("key", 1).cast("int").alias("key"), r4("value").alias("value"))
+
+
+_FADING = (Exponential(20 * DAY), f"exp((b.time - a.time) / {20 * DAY})")
+_BINS = (Binned([1.0, 0.55, 0.3, 0.17] + [0.09] * 396, DAY), f"CASE WHEN b.time IS NULL THEN NULL WHEN a.time - b.time < {DAY} THEN 1 WHEN a.time - b.time < {2 * DAY} THEN 0.55 WHEN a.time - b.time < {3 * DAY} THEN 0.3 WHEN a.time - b.time < {4 * DAY} THEN 0.17 ELSE 0.09 END")
+for _name, _sql in (("count", "sum(w)"), ("sum", "sum(w * x)"), ("mean", "sum(w * x) / sum(w)"), ("min", "min(w * x)"), ("max", "max(w * x)")):
+    _weighted(f"grouped_exponential_{_name}", *_FADING, _name, _sql)
+    _weighted(f"grouped_binned_{_name}", *_BINS, _name, _sql)
+_weighted("grouped_custom", *_FADING, lambda p: F.array_max(F.transform(p, lambda e: e["x"])) - F.aggregate(p, F.lit(0.0), lambda a, e: a + e["w"]), "max(x) - sum(w)")
+
+
 @query("grouped_two_keys", f"WITH {FLAG} SELECT flag AS k0, tax AS k1, count(*) AS n, round(sum(quantity), 4) AS total FROM u WHERE step >= 1 GROUP BY flag, tax")
 def _(spark, d):
     df, keys = _flags(spark, d), [["flag"], ["tax"]]
@@ -455,11 +478,65 @@ def _(spark, d):
     return decode(long.select(ID, STEP, "message")).select(ID, STEP, F.floor(TIME).alias(TIME), r4(F.element_at("state", 1)).alias("value"))
 
 
+# --- sources and sinks: a series written and read back -----------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    """A folder of the shared store for what a query writes and reads back."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/tidewheel-{name}-{uuid.uuid4().hex}"
+
+
+_ONE = "u AS (SELECT row_number() OVER (ORDER BY epoch_us(ts) / 1e6, value) - 1 AS step, epoch_us(ts) / 1e6 AS time, value FROM events)"
+
+
+def _round_trip(name: str, there_and_back):
+    def run(spark, d):
+        rows = to_series(read_table(spark, d, "events"), F.lit(0).cast("long"), ["ts", "value", "event_id"], seconds("ts"), {"value": F.col("value"), "twice": 2 * F.col("value")})
+        back = there_and_back(spark, to_long(rows, {"p": ["value", "twice"]}), _folder(spark, name)).where(F.col("partition_name") == "p")
+        return back.select(STEP, F.floor(TIME).alias(TIME), *[r4(F.element_at("state", i + 1)).alias(c) for i, c in enumerate(("value", "twice"))])
+
+    QUERIES[f"round_trip_{name}"] = run
+    ORACLE[f"round_trip_{name}"] = f"WITH {_ONE} SELECT step, CAST(floor(time) AS BIGINT) AS time, round(value, 4) AS value, round(2 * value, 4) AS twice FROM u"
+
+
+def _trips() -> None:
+    from .sources import readers, writers
+    from .series import state_columns
+
+    def by_csv(spark, long, path):
+        writers.write_csv(long, path, "p", 2)
+        return readers.read_csv(spark, path, 0, {"p": [1, 2]}, header=True)
+
+    def by_json(spark, long, path):
+        writers.write_json_log(long, path)
+        return readers.read_json_log(spark, path)
+
+    def by_parquet(spark, long, path):
+        writers.write(long, "parquet", path=path)
+        return readers.load(spark, "parquet", path=path)
+
+    def by_arrow(spark, long, path):
+        writers.write_arrow(long, path.removeprefix("file://"), {"p": 2})
+        return readers.read_arrow(spark, path)
+
+    for name, trip in (("csv", by_csv), ("json_log", by_json), ("parquet", by_parquet), ("arrow", by_arrow)):
+        _round_trip(name, trip)
+    _round_trip("dataframe", lambda spark, long, path: readers.from_dataframe(state_columns(long, 2), "p"))
+
+
+_trips()
+
 # --- simulation and inference (no SQL; pinned by tests) ----------------------------------
 
 from . import simulations  # noqa: E402
 
 QUERIES |= simulations.QUERIES
+QUERIES["process_invariants"] = simulations.process_invariants
+ORACLE["process_invariants"] = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {simulations.MEMBERS * (simulations.STEPS + 1)}, 0, TRUE)" for n in simulations.INVARIANTS) + ") AS t(process, n, broken, centred)"
 
 # a rounded negative has no sign where it is zero
 ORACLE = {k: v.replace("round(", "0 + round(") for k, v in ORACLE.items()}

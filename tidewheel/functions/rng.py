@@ -7,6 +7,7 @@ Poisson draws take a generator seeded by the hash, in Arrow batches.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -61,6 +62,8 @@ def poisson(lam: Column, k: Column) -> Column:
 
 
 def stream(*parts: int | str) -> np.random.Generator:
-    """A generator of its own for a path of names and numbers (seed, member, partition...)."""
-    words = [p & 0xFFFFFFFF if isinstance(p, int) else int.from_bytes(p.encode()[:64].ljust(8, b"\0"), "little") % (2**63) for p in parts]
-    return np.random.Generator(np.random.Philox(np.random.SeedSequence(words)))
+    """A generator of its own for a path of names and numbers (seed, member, partition...), by
+    a digest of all of them: long names, and numbers of any size, are told apart."""
+    named = "\x1f".join(f"s{len(p)}:{p}" if isinstance(p, str) else f"i{int(p)}" for p in parts)
+    words = np.frombuffer(hashlib.sha256(named.encode()).digest(), "<u4")
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence(words.tolist())))

@@ -8,13 +8,14 @@ known groups, not by a join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ieee
-from ..series import ID, STEP
+from ..series import ID, STEP, TIME
+from .kernels import Constant, Instantaneous, Kernel
 
 #: Groups are parameters of a plan; beyond this many they must be named by the caller.
 MOST_GROUPS = 100_000
@@ -43,31 +44,58 @@ def group_list(df: DataFrame, keys: Sequence[Sequence[str]], precision: int) ->
     return [list(r.key) for r in sorted(rows, key=lambda r: r.group_idx)]
 
 
+def _weighted(aggregation: str | Callable[[Column], Column], pairs: Column) -> Column:
+    """Of an array of (w, x): an aggregation by name, or a function of the array."""
+    if callable(aggregation):
+        return aggregation(pairs)
+    total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + f(p))
+    n = total(lambda p: p["w"])
+    products = F.transform(pairs, lambda p: p["w"] * p["x"])
+    return {
+        "count": n, "sum": total(lambda p: p["w"] * p["x"]), "mean": ieee.divide(total(lambda p: p["w"] * p["x"]), n), "max": F.array_max(products), "min": F.array_min(products),
+    }[aggregation]
+
+
 def grouped_aggregation(
-    df: DataFrame, values: Sequence[str], keys: Sequence[Sequence[str]], aggregation: str, *, precision: int = 0, depth: int = 0,
-    groups: Sequence[Sequence[float]] | None = None, default: float = 0.0, instantaneous: bool = False,
+    df: DataFrame, values: Sequence[str], keys: Sequence[Sequence[str]], aggregation: str | Callable[[Column], Column], *, precision: int = 0, depth: int = 0,
+    groups: Sequence[Sequence[float]] | None = None, default: float = 0.0, instantaneous: bool = False, kernel: Kernel | None = None,
 ) -> DataFrame:
     """Rows (series_id, step, group_idx, key, value) for each step and group.
 
     Aggregations: count (sum of weights), sum, mean, min, max over the latest row and ``depth``
-    rows before it, at constant weight, or at weight 1 now and 0 before (``instantaneous``).
-    Step 0 has the default, and so has a group without a value in the frame.
+    rows before it, or a function from an array of (w, x) to a Column. Weights are a kernel's,
+    with its parameters; without one they are constant, or 1 now and 0 before
+    (``instantaneous``). Step 0 has the default, and so has a group without a value in the
+    frame. With constant weights sums of rows are summed over the frame; other weights depend
+    on the latest row too, so there a frame's values are gathered, ``depth`` + 1 rows at most.
     """
+    instantaneous = instantaneous or isinstance(kernel, Instantaneous)
+    if kernel is not None and (kernel.constant or instantaneous):
+        kernel = None
     groups = [list(map(float, g)) for g in (groups if groups is not None else group_list(df, keys, precision))]
     if not groups:
         return df.select(ID, STEP, F.lit(0).alias("group_idx"), F.array().cast("array<double>").alias("key"), F.lit(default).alias("value")).limit(0)
     listed = F.array(*[F.struct(F.lit(i).alias("group_idx"), F.array(*[F.lit(x) for x in g]).alias("key")) for i, g in enumerate(groups)])
-    rows = df.select(ID, STEP, entries(values, keys, precision).alias("__e"))
-    grid = rows.select(ID, STEP, "__e", F.explode(listed).alias("g")).select(
-        ID, STEP, "g.group_idx", "g.key", F.transform(F.filter("__e", lambda e: e["key"] == F.col("g.key")), lambda e: e["x"]).alias("xs")
+    rows = df.select(ID, STEP, TIME, entries(values, keys, precision).alias("__e"), F.array(*values).alias("__x"))
+    grid = rows.select(ID, STEP, TIME, "__e", "__x", F.explode(listed).alias("g")).select(
+        ID, STEP, TIME, "__x", "g.group_idx", "g.key", F.transform(F.filter("__e", lambda e: e["key"] == F.col("g.key")), lambda e: e["x"]).alias("xs")
     )
+    w = Window.partitionBy(ID, "group_idx").orderBy(STEP).rowsBetween(-depth, 0)
+    if kernel is not None or callable(aggregation):
+        known = kernel or (Instantaneous() if instantaneous else Constant())
+        state = lambda x: [F.get(x, F.lit(i)) for i in range(len(values))]
+        weigh = lambda r: known.weight(F.col(TIME), r[TIME], state("__x"), state(r["__x"]))
+        framed = grid.withColumn("__h", F.collect_list(F.struct(TIME, "__x", "xs")).over(w))
+        pairs = F.flatten(F.transform("__h", lambda r: F.transform(r["xs"], lambda x: F.struct(weigh(r).cast("double").alias("w"), x.alias("x")))))
+        framed = framed.withColumn("__p", pairs)
+        value = F.when((F.col(STEP) >= 1) & (F.size("__p") > 0), F.coalesce(_weighted(aggregation, F.col("__p")), F.lit(default))).otherwise(default)
+        return framed.select(ID, STEP, "group_idx", "key", value.alias("value"))
     some = F.size("xs") > 0
     parts = grid.select(
         ID, STEP, "group_idx", "key", F.size("xs").cast("double").alias("n"),
         F.aggregate("xs", F.lit(0.0), lambda a, x: a + x).alias("s"),
         F.when(some, F.array_max("xs")).alias("hi"), F.when(some, F.array_min("xs")).alias("lo"),
     )
-    w = Window.partitionBy(ID, "group_idx").orderBy(STEP).rowsBetween(-depth, 0)
     seen = F.sum("n").over(w)
     if instantaneous:
         past = seen - F.col("n")  # rows with weight 0

@@ -61,6 +61,10 @@ def particle_posterior(params: np.ndarray, loglikes: np.ndarray) -> tuple[np.nda
     return mean, (w[:, None] * d).T @ d, total - np.log(len(loglikes))
 
 
+#: Rounds of draws in which a proposal must come to lie inside the priors' support.
+MOST_TRIES = 100_000
+
+
 def propose(priors: Sequence[Prior], n: int, g: np.random.Generator, posterior: np.ndarray | None) -> np.ndarray:
     """n particles: from the priors, or from the normal of a posterior row [mean | covariance |
     log marginal], its variances kept above a hundredth of the priors', inside their support."""
@@ -74,16 +78,13 @@ def propose(priors: Sequence[Prior], n: int, g: np.random.Generator, posterior:
         root = np.linalg.cholesky(cov)
     except np.linalg.LinAlgError:
         root = np.diag(np.sqrt(np.diag(cov)))
-    out = []
-    for _ in range(n):
-        for _ in range(1000):
-            x = mean + root @ g.standard_normal(d)
-            if all(p.inside(v) for p, v in zip(priors, x)):
-                break
-        else:
-            x = np.array([p.sample(g) for p in priors])
-        out.append(x)
-    return np.array(out)
+    out: list[np.ndarray] = []
+    for _ in range(MOST_TRIES):
+        x = mean + g.standard_normal((max(n - len(out), 16), d)) @ root.T
+        out += [v for v in x if all(p.inside(y) for p, y in zip(priors, v))]
+        if len(out) >= n:
+            return np.array(out[:n])
+    raise ValueError("the posterior's normal has no mass inside the priors' support")
 
 
 def run_smc(spark: SparkSession, priors: Sequence[Prior], loglike: Callable[[np.ndarray, np.random.Generator], float], *, particles: int, rounds: int, seed: int = 0) -> DataFrame:

@@ -334,13 +334,20 @@ def _(spec, p):
 
 @register("values_grouped_aggregation")
 def _(spec, p):
-    kind = spec.get("aggregation", "sum")
+    kind, kernel = spec.get("aggregation", "sum"), numeric.kernel(spec.get("kernel") or "constant")
+    reduce = {
+        "count": lambda w, x: w.sum(), "sum": lambda w, x: (w * x).sum(), "mean": lambda w, x: (w * x).sum() / w.sum(),
+        "min": lambda w, x: (w * x).min(), "max": lambda w, x: (w * x).max(),
+    }[kind]
 
     def run(c):
         latest = c.p("latest_states")
         idx = c.p("state_value_indices", np.arange(len(latest))).astype(int)
         history = c.past(c.partitions("state_partition")[0])[: max(0, c.step)]
         rows = np.vstack([latest, history])[:, idx]
+        t = c.time + c.dt
+        w = np.array([kernel(c, t, t, latest, latest)] + [kernel(c, t, c.times[i], latest, history[i]) for i in range(len(history))], float)
+        weights = np.broadcast_to(w[:, None], rows.shape)
         tuples, k = [], 0
         while c.has(f"accepted_value_group_tupindex_{k}"):
             tuples.append(c.p(f"accepted_value_group_tupindex_{k}"))
@@ -357,9 +364,8 @@ def _(spec, p):
             hit = np.ones(rows.shape, bool)
             for values, want in zip(keys, group):
                 hit &= values == want
-            x = rows[hit]
-            if len(x):
-                out[i] = {"count": len, "sum": np.sum, "mean": np.mean, "min": np.min, "max": np.max}[kind](x)
+            if hit.any():
+                out[i] = reduce(weights[hit], rows[hit])
         return out
 
     return run

@@ -196,10 +196,10 @@ def _(spark, s, b):
     return s.add(b["name"], out, [f"cov_{i}_{j}" for i in range(n) for j in range(n)])
 
 
-@macro("grouped_aggregation", "name", "data", "group_by", "precision", "aggregation", "default_value", "kernel", "depth")
+@macro("grouped_aggregation", "name", "data", "group_by", "precision", "aggregation", "default_value", "kernel", "depth", "params")
 def _(spark, s, b):
     df, (values, *keys) = s.columns([b["data"], *b["group_by"]])
-    got = grouped_aggregation(df, values, keys, b["aggregation"], precision=int(b.get("precision", 0)), depth=int(b.get("depth", 0)), default=float(b.get("default_value", 0)), instantaneous=(b.get("kernel") or "instantaneous") == "instantaneous")
+    got = grouped_aggregation(df, values, keys, b["aggregation"], precision=int(b.get("precision", 0)), depth=int(b.get("depth", 0)), default=float(b.get("default_value", 0)), kernel=_kernel(b.get("kernel"), b.get("params", {})))
     rows = got.groupBy(ID, STEP).agg(F.transform(F.array_sort(F.collect_list(F.struct("group_idx", "value"))), lambda e: e["value"]).alias("state"))
     width = got.agg(F.max("group_idx")).first()[0] + 1
     rows = rows.join(df.select(ID, STEP, TIME), [ID, STEP]).select("*", *[F.element_at("state", i + 1).alias(f"g{i}") for i in range(width)])

@@ -85,6 +85,46 @@ def expression_ensemble(spark, d):
     return ensemble(spark, Settings(parts, 100), 50)
 
 
+def _whole(c):
+    return c == F.floor(c)
+
+
+#: By process: its rows, what holds of each row (x, the value before, the step), and the mean of
+#: the last rows, or of all rows, with the distance that chance allows: some six standard errors.
+INVARIANTS = {
+    "wiener": (wiener_paths, lambda x, y: F.isnotnull(x) & (F.abs(x) < 200), 0.0, 6.0),
+    "drift_diffusion": (drift_diffusion_paths, lambda x, y: F.abs(x - y - 0.1) < 4, 21.0, 3.0),
+    "gbm": (gbm_paths, lambda x, y: (x > 0) & (F.abs(x / y - 1) < 0.8), 1.0, 1.5),
+    "ou": (ou_paths, lambda x, y: F.abs(x - y - 0.1 * (2 - y)) < 2.5, 2.0, 0.5),
+    "ou_exact": (ou_exact_paths, lambda x, y: F.abs(x - 2 - (y - 2) * F.exp(F.lit(-0.1))) < 2.5, 2.0, 0.5),
+    "poisson": (poisson_paths, lambda x, y: (x - y).isin(0.0, 1.0), 200 / 3, 3.0),
+    "cox": (cox_paths, lambda x, y: (x - y).isin(0.0, 1.0), 60.0, 10.0),
+    "compound_poisson": (compound_poisson_paths, lambda x, y: x >= y, 200 / 6, 3.0),
+    "drift_jump": (drift_jump_paths, lambda x, y: x - y > 0.1 - 0.2 * 8, 20 + 200 * 0.3 / 1.3 / 2, 4.0),
+    "bernoulli": (bernoulli_rows, lambda x, y: x.isin(0.0, 1.0), 0.3, 0.3),
+    "binomial": (binomial_rows, lambda x, y: _whole(x) & x.between(0, 20), 5.0, 1.0),
+}
+
+
+def process_invariants(spark, d):
+    """Per process: rows, rows whose step from the one before is impossible, and whether the
+    last rows' mean is where the process has it."""
+    from pyspark.sql import Window
+
+    out = None
+    for name, (rows, holds, mean, near) in INVARIANTS.items():
+        df = rows(spark, d)
+        x = next(c for c in df.columns if c not in (ID, STEP, TIME, "n", "rate"))
+        df = df.select(ID, STEP, F.col(x).alias("x"), F.lag(x).over(Window.partitionBy(ID).orderBy(STEP)).alias("y"))
+        one = df.agg(
+            F.count(F.lit(1)).cast("int").alias("n"),
+            F.sum(F.when((F.col(STEP) >= 1) & ~F.coalesce(holds(F.col("x"), F.col("y")), F.lit(False)), 1).otherwise(0)).cast("int").alias("broken"),
+            (F.abs(F.avg(F.when(F.col(STEP) == STEPS, F.col("x"))) - mean) < near).alias("centred"),
+        ).select(F.lit(name).alias("process"), "n", "broken", "centred")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def smc_posterior(spark, d):
     data = np.random.default_rng(0).normal(2.0, 1.0, 50)
     return inference.run_smc(spark, [Prior("uniform", -5.0, 10.0)], lambda x, g: float(-0.5 * ((data - x[0]) ** 2).sum()), particles=400, rounds=3)

@@ -74,20 +74,33 @@ def write_arrow(long: DataFrame, path: str, widths: dict[str, int]) -> None:
             flush()
 
 
-def write_duckdb(long: DataFrame, path: str, table: str) -> None:
-    """Replace a DuckDB table by the rows, through Parquet that DuckDB reads itself."""
-    import shutil
-    import tempfile
-
+def write_duckdb(long: DataFrame, path: str, table: str, rows: int = 50_000) -> None:
+    """Replace a DuckDB table by the rows. The file is the driver's, so rows go through it, a
+    partition at a time, in one transaction: the table is whole or as it was."""
     import duckdb
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema, names = to_arrow_schema(long.schema), long.columns
+
+    def batch(held: list) -> pa.Table:
+        return pa.Table.from_pydict({n: [r[n] for r in held] for n in names}, schema=schema)
 
-    folder = tempfile.mkdtemp()  # DuckDB's file is local to the driver, and so is this
-    try:
-        long.write.mode("overwrite").parquet(f"file://{folder}/rows")
-        with duckdb.connect(path) as con:
-            con.execute(f'CREATE OR REPLACE TABLE "{table}" AS SELECT * FROM read_parquet(\'{folder}/rows/*.parquet\')')
-    finally:
-        shutil.rmtree(folder)
+    with duckdb.connect(path) as con:
+        con.begin()
+        con.register("batch", batch([]))
+        con.execute(f'CREATE OR REPLACE TABLE "{table}" AS SELECT * FROM batch')
+        held = []
+        for r in long.toLocalIterator():
+            held.append(r)
+            if len(held) >= rows:
+                con.register("batch", batch(held))
+                con.execute(f'INSERT INTO "{table}" SELECT * FROM batch')
+                held = []
+        con.register("batch", batch(held))
+        con.execute(f'INSERT INTO "{table}" SELECT * FROM batch')
+        con.unregister("batch")
+        con.commit()
 
 
 POSTGRES_TABLE = "CREATE TABLE IF NOT EXISTS {table} (partition_name TEXT, time DOUBLE PRECISION, state FLOAT8[], PRIMARY KEY (partition_name, time))"
