@@ -277,6 +277,19 @@ def test_warc(spark, tmp_path):
     assert warc.read_records(warc.archive(pages.limit(0), str(tmp_path / "e"))[0], folder).count() == 0
 
 
+def test_warc_tasks(spark, tmp_path):
+    """Archives are read by as many tasks at least, a long record whole, copies without a page id too."""
+    rows = [(i, f"http://{i}", "x" * 50 + str(i)) for i in range(400)] + [(1000, "l", "é" * 5_000_000), (None, "n", "y" * 2000), (None, "n", "y" * 2000), (7000, "n", "y" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    index, folder = warc.archive(pages, str(tmp_path / "w"))
+    assert index.select("file").distinct().count() == 8
+    records = warc.read_records(index, folder)
+    assert records.rdd.getNumPartitions() >= 8
+    got = records.select("page_id", "record_type", "refers_to", "payload_bytes").collect()
+    assert len(got) == len(rows) and [tuple(r)[1:] for r in got if r.page_id is None] == [("revisit", 7000, 2000)] * 2
+    assert [r.payload_bytes for r in got if r.page_id == 1000] == [10_000_000]
+
+
 @pytest.mark.parametrize("options", [{}, {"group_rows": 3, "least": 2}, {"group_rows": 2, "least": 2, "hot_tokens": 1, "pair_rows": 1}])
 def test_jaccard(spark, texts, options):
     rng, rows = random.Random(11), list(texts)
