@@ -19,7 +19,7 @@ from .operators.grouping import discover_groups, group_list, grouped_aggregation
 from .operators.kernels import Binned, Constant, Exponential, GaussianState, Instantaneous, Kernel, Periodic, Product, TDistributionState
 from .operators.regression import ols
 from .operators.rolling import rolling_covariance, rolling_covariance_pairs, rolling_mean, rolling_variance
-from .series import EMBEDDING, ID, STEP, TIME, DataRef, embeddings_by_label, events_by_type, events_by_user, lineitem_by_supplier, orders_by_customer, read_table, replace_partition, seconds, to_long, to_series, to_wide, validate_aligned, whole_embeddings_by_label
+from .series import EMBEDDING, ID, STEP, TIME, DataRef, embeddings_by_label, events_by_type, events_by_user, in_chunks, lineitem_by_supplier, orders_by_customer, read_table, replace_partition, seconds, to_long, to_long_series, to_series, to_wide, validate_aligned, whole_embeddings_by_label
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -323,6 +323,42 @@ def _(spark, d):
 
 ORACLE["fifo_queue"] = f"WITH {USER} SELECT series_id, step, CASE WHEN step < 2 THEN -1.0 ELSE lag(value, CASE WHEN step % 2 = 0 THEN 1 ELSE 2 END) OVER (PARTITION BY series_id ORDER BY step) END AS popped FROM u"
 
+# --- one series as long as the table -----------------------------------------------------
+
+#: Steps a chunk: some chunks on the smaller tables too.
+CHUNK = 20_000
+ORDERS = "u AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS step, epoch_us(o_orderdate) / 1e6 AS time, o_totalprice AS price FROM orders)"
+LINES = "u AS (SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS step, epoch_us(l_shipdate) / 1e6 AS time, l_quantity AS quantity, l_extendedprice AS price FROM lineitem)"
+
+
+def _all_lines(spark, d):
+    values = {"quantity": F.col("l_quantity"), "price": F.col("l_extendedprice")}
+    return to_long_series(read_table(spark, d, "lineitem"), F.lit(0), ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"], seconds("l_shipdate"), values, CHUNK)
+
+
+@query("long_series_steps", f"WITH {LINES} SELECT step, time, quantity, price FROM u")
+def _(spark, d):
+    return _all_lines(spark, d).select(STEP, TIME, "quantity", "price")
+
+
+@query("long_series_rolling_mean", f"WITH {LINES} SELECT step, CASE WHEN step >= {DEPTH} THEN round(avg(price) OVER (ORDER BY step ROWS BETWEEN {DEPTH} PRECEDING AND CURRENT ROW), 4) ELSE 0 END AS price_mean FROM u")
+def _(spark, d):
+    out = in_chunks(_all_lines(spark, d), DEPTH, lambda df: rolling_mean(df, ["price"], DEPTH, Constant()), CHUNK)
+    return out.select(STEP, r4("price_mean").alias("price_mean"))
+
+
+@query("long_series_rolling_mean_exponential", f"WITH {LINES}, j AS (SELECT a.step, exp((b.time - a.time) / {30 * DAY}) AS w, b.quantity AS v FROM u a, unnest(range(0, {DEPTH + 1})) AS i(i) JOIN u b ON b.step = a.step - i) SELECT step, CASE WHEN step >= {DEPTH} THEN round(sum(w * v) / sum(w), 4) ELSE 0 END AS quantity_mean FROM j GROUP BY step")
+def _(spark, d):
+    out = in_chunks(_all_lines(spark, d), DEPTH, lambda df: rolling_mean(df, ["quantity"], DEPTH, Exponential(30 * DAY)), CHUNK)
+    return out.select(STEP, r4("quantity_mean").alias("quantity_mean"))
+
+
+@query("long_series_cumulative", f"WITH {ORDERS} SELECT step, round(coalesce(sum(CASE WHEN step >= 1 THEN price END) OVER (ORDER BY step), 0), 2) AS price_cum FROM u")
+def _(spark, d):
+    df = to_long_series(read_table(spark, d, "orders"), F.lit(0), ["o_orderdate", "o_orderkey"], seconds("o_orderdate"), {"price": F.col("o_totalprice")}, CHUNK)
+    return acc.cumulative(df, ["price"], rows=CHUNK).select(STEP, F.round("price_cum", 2).alias("price_cum"))
+
+
 # --- expressions -------------------------------------------------------------------------
 
 
@@ -535,6 +571,9 @@ _trips()
 from . import simulations  # noqa: E402
 
 QUERIES |= simulations.QUERIES
+_KEPT = 0.9**5
+QUERIES["mean_fit"] = lambda spark, d: shown(simulations.mean_fit(spark, d), "fit_value")
+ORACLE["mean_fit"] = f"WITH {USER}, m AS (SELECT series_id, step, avg(value) OVER (PARTITION BY series_id ORDER BY step ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS m FROM u) SELECT a.series_id, a.step, round(coalesce(sum({1 - _KEPT}::DOUBLE * power({_KEPT}::DOUBLE, a.step - b.step) * b.m), 0), 4) AS fit_value FROM m a LEFT JOIN m b ON a.series_id = b.series_id AND b.step BETWEEN 7 AND a.step GROUP BY a.series_id, a.step"
 QUERIES["process_invariants"] = simulations.process_invariants
 ORACLE["process_invariants"] = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {simulations.MEMBERS * (simulations.STEPS + 1)}, 0, TRUE)" for n in simulations.INVARIANTS) + ") AS t(process, n, broken, centred)"
 

@@ -21,10 +21,23 @@ def first_difference(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select("*", *[(F.col(c) - F.lag(c).over(by_step())).alias(f"{c}_diff") for c in cols])
 
 
-def cumulative(df: DataFrame, cols: Sequence[str], init: float = 0.0) -> DataFrame:
-    """Adds <col>_cum: the initial value and every datum from step 1 on."""
-    w = by_step().rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("*", *[(F.lit(init) + F.coalesce(F.sum(F.when(F.col(STEP) >= 1, F.col(c))).over(w), F.lit(0.0))).alias(f"{c}_cum") for c in cols])
+def cumulative(df: DataFrame, cols: Sequence[str], init: float = 0.0, rows: int | None = None) -> DataFrame:
+    """Adds <col>_cum: the initial value and every datum from step 1 on. With ``rows`` a series
+    is summed in blocks of so many steps, for series too long for a task, and a block's rows
+    add the sum of the blocks before it."""
+    data = {c: F.when(F.col(STEP) >= 1, F.col(c)) for c in cols}
+    zero = F.lit(0.0)
+    if rows is None:
+        w = by_step().rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[(F.lit(init) + F.coalesce(F.sum(x).over(w), zero)).alias(f"{c}_cum") for c, x in data.items()])
+    cut = df.withColumn("__b", F.floor(F.col(STEP) / rows))
+    w = Window.partitionBy(ID, "__b").orderBy(STEP).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.select("*", *[F.coalesce(F.sum(x).over(w), zero).alias(f"__s_{c}") for c, x in data.items()])
+    ends = cut.groupBy(F.col(ID).alias("__i"), F.col("__b").alias("__k")).agg(*[F.sum(x).alias(f"__e_{c}") for c, x in data.items()])
+    prior = Window.partitionBy("__i").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("__i", "__k", *[F.coalesce(F.sum(f"__e_{c}").over(prior), zero).alias(f"__p_{c}") for c in data])
+    both = local.join(ends, F.col(ID).eqNullSafe(F.col("__i")) & (F.col("__b") == F.col("__k")))
+    return both.select(*df.columns, *[(F.lit(init) + F.col(f"__p_{c}") + F.col(f"__s_{c}")).alias(f"{c}_cum") for c in data])
 
 
 def discounted_cumulative(df: DataFrame, col: str, discount: float) -> DataFrame:
@@ -36,7 +49,8 @@ def discounted_cumulative(df: DataFrame, col: str, discount: float) -> DataFrame
     """
     if discount == 0:
         return df.withColumn(f"{col}_dis", F.when(F.col(STEP) >= 1, F.col(col)).otherwise(0.0))
-    chunk = 512 if abs(discount) >= 1 else max(1, min(512, int(200 / -math.log10(abs(discount)))))
+    decades = abs(math.log10(abs(discount)))
+    chunk = max(1, min(512, int(200 / decades))) if decades else 512
     x = F.when(F.col(STEP) >= 1, F.col(col)).otherwise(0.0)
     place = F.col(STEP) % chunk
     w = Window.partitionBy(ID, "__c").orderBy(STEP).rowsBetween(Window.unboundedPreceding, 0)

@@ -34,20 +34,24 @@ def enkf_analysis(forecast: np.ndarray, y: np.ndarray, noise: np.ndarray, observ
 
 def ensemble_kalman_filter(df: DataFrame, observation: str, *, members: int, persistence: float, process_variance: float, noise: float, inflation: float = 1.0, seed: int = 0) -> DataFrame:
     """Filters a scalar autoregressive state against each series: adds ``filtered`` and ``spread``.
-    Series are independent groups; in a series each step needs the one before."""
-    schema = _with(df, "filtered", "spread")
+    Series are independent groups; in a series each step needs the one before, and the gain of
+    a single observed value is a quotient."""
+    schema, inflate = _with(df, "filtered", "spread"), np.sqrt(inflation)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(STEP)
         g = stream(seed, str(pdf[ID].iloc[0]), "enkf")
-        x = g.standard_normal((members, 1))
-        mean, spread = [], []
-        for y in pdf[observation]:
-            x = persistence * x + np.sqrt(process_variance) * g.standard_normal(x.shape)
-            x = enkf_analysis(x, np.array([y]), np.array([noise]), [0], inflation, g)
-            mean.append(x.mean())
-            spread.append(x.std(ddof=1))
-        return pdf.assign(filtered=mean, spread=spread)
+        x, ensembles = g.standard_normal(members), np.empty((len(pdf), members))
+        for k, y in enumerate(pdf[observation].to_numpy(float)):
+            z = g.standard_normal((2, members))
+            x = persistence * x + np.sqrt(process_variance) * z[0]
+            mean = x.sum() / members
+            anomalies = inflate * (x - mean)
+            seen = anomalies @ anomalies / (members - 1)
+            x = mean + anomalies
+            x += seen / (seen + noise) * (y + np.sqrt(noise) * z[1] - x)
+            ensembles[k] = x
+        return pdf.assign(filtered=ensembles.mean(1), spread=ensembles.std(1, ddof=1))
 
     return df.groupBy(ID).applyInPandas(run, schema)
 
@@ -147,25 +151,17 @@ def fit_mean(df: DataFrame, cols: Sequence[str], variance: Sequence[float], dept
     """Adds fit_<col>: the mean of a normal fitted to the latest ``depth`` rows by gradient steps,
     each step's fit starting from the last one's, zero before the window is full.
 
-    One row's steps are m <- m + a (x̄ - m), so they move m by the fixed share 1 - (1 - a)^k
-    towards the window's mean; across rows that is a fold of a series."""
+    One row's steps are m <- m + a (x̄ - m), so they keep the fixed share (1 - a)^k of m and add
+    the rest of the window's mean; across rows that is a discounted sum."""
     from ..series import by_step
-
-    out = df.select("*", *[F.avg(c).over(by_step().rowsBetween(1 - depth, 0)).alias(f"fit_{c}") for c in cols])
-    share = [1 - (1 - learning_rate / v) ** descent_steps for v in variance]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(STEP)
-        for c, s in zip(cols, share, strict=True):
-            m, fits = 0.0, []
-            for step, x in zip(pdf[STEP], pdf[f"fit_{c}"]):
-                if step >= depth:
-                    m += s * (x - m)
-                fits.append(m)
-            pdf[f"fit_{c}"] = fits
-        return pdf
-
-    return out.groupBy(ID).applyInPandas(run, out.schema)
+    from .accumulate import discounted_cumulative
+
+    for c, v in zip(cols, variance, strict=True):
+        kept = (1 - learning_rate / v) ** descent_steps
+        window = F.avg(c).over(by_step().rowsBetween(1 - depth, 0))
+        df = df.withColumn(f"fit_{c}", F.when(F.col(STEP) >= depth, (1 - kept) * window).otherwise(0.0))
+        df = discounted_cumulative(df, f"fit_{c}", kept).drop(f"fit_{c}").withColumnRenamed(f"fit_{c}_dis", f"fit_{c}")
+    return df
 
 
 def posterior_estimation(df: DataFrame, col: str, noise: float, prior: Prior, *, depth: int, discount: float, seed: int = 0) -> DataFrame:

@@ -154,11 +154,13 @@ class Beta:
         return out
 
 
-def wishart_loglike(x: np.ndarray, scale: np.ndarray, dof: float) -> float:
+def wishart_loglike(x: np.ndarray, scale: np.ndarray, dof: float) -> np.ndarray:
+    """Of a matrix, or of each matrix of a stack."""
     k = len(scale)
     logdet = lambda m: np.linalg.slogdet(m)[1]
     multi = k * (k - 1) / 4 * math.log(math.pi) + sum(math.lgamma((dof - i) / 2) for i in range(k))
-    return float(0.5 * (dof - k - 1) * logdet(x) - 0.5 * np.trace(np.linalg.solve(scale, x)) - 0.5 * dof * k * math.log(2) - 0.5 * dof * logdet(scale) - multi)
+    trace = np.einsum("ij,...ji->...", np.linalg.inv(scale), x)
+    return 0.5 * (dof - k - 1) * logdet(x) - 0.5 * trace - 0.5 * dof * k * math.log(2) - 0.5 * dof * logdet(scale) - multi
 
 
 class Wishart:
@@ -172,7 +174,14 @@ class Wishart:
         import pandas as pd
 
         scale, dof = self.scale, self.dof
-        return F.pandas_udf(lambda v: pd.Series([wishart_loglike(np.array(a, float).reshape(scale.shape), scale, dof) for a in v]), "double")(x)
+        def run(v):
+            have = v.notna()
+            out = pd.Series(np.nan, v.index)
+            if have.any():
+                out[have] = wishart_loglike(np.stack(v[have].to_list()).astype(float).reshape(-1, *scale.shape), scale, dof)
+            return out
+
+        return F.pandas_udf(run, "double")(x)
 
     def gradient(self, x: np.ndarray) -> np.ndarray:
         inv = np.linalg.inv(self.scale)

@@ -139,7 +139,7 @@ class Likelihood:
             return float((_lgamma(r + x) - _lgamma(x + 1) - _lgamma(r) + r * np.log(p) + x * np.log1p(-p)).sum())
         if k == "beta":
             return float(((self.a - 1) * np.log(x) + (self.b - 1) * np.log1p(-x) + _lgamma(self.a + self.b) - _lgamma(self.a) - _lgamma(self.b)).sum())
-        return wishart_loglike(x.reshape(self.scale.shape), self.scale, self.dof)
+        return float(wishart_loglike(x.reshape(self.scale.shape), self.scale, self.dof))
 
     def gradient(self, x: np.ndarray) -> np.ndarray:
         k, m, v = self.kind, self.mean, self.variance

@@ -8,7 +8,7 @@ appear as arrays only where a caller asks for them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -30,11 +30,55 @@ def frame(depth: int) -> WindowSpec:
     return by_step().rowsBetween(-depth, 0)
 
 
+#: Rows that a task should number or roll over at once, where a series may be cut.
+CHUNK_ROWS = 1_000_000
+
+
+def _picked(df: DataFrame, series: Column, order: Sequence[str], time: Column, values: dict[str, Column]) -> DataFrame:
+    return df.select(series.alias(ID), time.cast("double").alias(TIME), *[v.cast("double").alias(k) for k, v in values.items()], *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)])
+
+
 def to_series(df: DataFrame, series: Column, order: Sequence[str], time: Column, values: dict[str, Column]) -> DataFrame:
     """Number the rows of each series from 0 by ``order``, which must be unique in a series."""
-    picked = df.select(series.alias(ID), time.cast("double").alias(TIME), *[v.cast("double").alias(k) for k, v in values.items()], *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)])
     w = Window.partitionBy(ID).orderBy(*[f"__o{i}" for i in range(len(order))])
-    return picked.select(ID, (F.row_number().over(w) - 1).cast("long").alias(STEP), TIME, *values)
+    return _picked(df, series, order, time, values).select(ID, (F.row_number().over(w) - 1).cast("long").alias(STEP), TIME, *values)
+
+
+def to_long_series(df: DataFrame, series: Column, order: Sequence[str], time: Column, values: dict[str, Column], rows: int = CHUNK_ROWS) -> DataFrame:
+    """As ``to_series``, where one series may hold most rows; ``time`` must not fall along ``order``.
+
+    A series of more than ``rows`` rows is cut into even spans of time, some ``rows`` rows each
+    on average; a span's rows are numbered in a task of their own, from the count of those
+    before it. Only slim counts are shuffled besides the rows. Rows of one time stay together.
+    """
+    picked = _picked(df, series, order, time, values)
+    n = F.count(F.lit(1))
+    giant = picked.groupBy(F.col(ID).alias("__g")).agg(F.min(TIME).alias("__t0"), ((F.max(TIME) - F.min(TIME)) / F.ceil(n / rows)).alias("__w"), n.alias("__n"))
+    cut = picked.join(giant.where(F.col("__n") > rows), F.col(ID).eqNullSafe(F.col("__g")), "left")
+    span = F.when(F.col("__w") > 0, F.coalesce(F.floor((F.col(TIME) - F.col("__t0")) / F.col("__w")), F.lit(0))).otherwise(0)
+    cut = cut.withColumn("__k", span.cast("long"))
+    counts = cut.where(F.col("__w") > 0).groupBy(F.col(ID).alias("__i"), F.col("__k").alias("__j")).agg(n.alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy("__i").orderBy("__j").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("__i", "__j", before.alias("__b"))
+    at = F.row_number().over(Window.partitionBy(ID, "__k").orderBy(*[f"__o{i}" for i in range(len(order))]))
+    numbered = cut.withColumn("__at", at).join(counts, F.col(ID).eqNullSafe(F.col("__i")) & (F.col("__k") == F.col("__j")), "left")
+    return numbered.select(ID, (F.coalesce("__b", F.lit(0)) + F.col("__at") - 1).cast("long").alias(STEP), TIME, *values)
+
+
+def in_chunks(df: DataFrame, depth: int, operator: Callable[[DataFrame], DataFrame], rows: int = CHUNK_ROWS) -> DataFrame:
+    """``operator(df)``, for one that reads at most ``depth`` rows back, on series of any length.
+
+    A series is cut into chunks of ``rows`` steps; the last ``depth`` of a chunk go before the
+    next one too, and what they give there is left out. The operator sees a chunk as a series
+    of its own, whose steps start where they did. Steps must count from 0 without gaps.
+    """
+    if depth > rows:
+        raise ValueError("a chunk must be longer than the frame")
+    chunk = F.floor(F.col(STEP) / rows)
+    own = F.array(chunk)
+    cut = df.withColumn("__chunk", F.explode(F.when(F.col(STEP) % rows >= rows - depth, F.array(chunk, chunk + 1)).otherwise(own) if depth else own))
+    out = operator(cut.withColumn(ID, F.struct(F.col(ID), F.col("__chunk"))).drop("__chunk"))
+    return out.where(F.col(f"{ID}.__chunk") == chunk).withColumn(ID, F.col(f"{ID}.{ID}"))
 
 
 def values_of(df: DataFrame) -> list[str]:
