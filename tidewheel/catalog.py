@@ -577,5 +577,8 @@ ORACLE["mean_fit"] = f"WITH {USER}, m AS (SELECT series_id, step, avg(value) OVE
 QUERIES["process_invariants"] = simulations.process_invariants
 ORACLE["process_invariants"] = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {simulations.MEMBERS * (simulations.STEPS + 1)}, 0, TRUE)" for n in simulations.INVARIANTS) + ") AS t(process, n, broken, centred)"
 
+QUERIES["inference_invariants"] = simulations.inference_invariants
+ORACLE["inference_invariants"] = "SELECT * FROM (VALUES ('smc_posterior', 1, 0), ('evolution', 8, 0), ('enkf_filter', 1, 0), ('hawkes_process', 2400, 0), ('categorical_state_transition', 2000, 0), ('expression', 5000, 0), ('mcts_self_play', 8, 0), ('mcts_planning', 1, 0)) AS t(name, n, broken) UNION ALL SELECT 'posterior_chain', count(*)::INT, 0 FROM events"
+
 # a rounded negative has no sign where it is zero
 ORACLE = {k: v.replace("round(", "0 + round(") for k, v in ORACLE.items()}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..series import ID, STEP, TIME, by_step
+from ..series import ID, STEP, TIME, by_step, folded
 
 
 def lagged(df: DataFrame, picks: dict[str, str], n: int = 1) -> DataFrame:
@@ -109,30 +109,27 @@ def fifo(df: DataFrame, slots: int, push: str, pop: str, empty: float = -1.0) ->
     """Adds ``queue``: slot 0 the last value popped, then ``slots`` places. A row whose ``pop``
     is not zero takes the first non-empty place, then a row whose ``push`` isn't the empty
     value fills the first empty one; a full queue is an error. Rows of a series stay ordered
-    in one group, as each state is made from the one before."""
-    import numpy as np
+    in one task, as each state is made from the one before."""
 
-    cols = df.columns
+    def start(series):
+        q = [empty] * (slots + 1)
 
-    def run(pdf):
-        pdf = pdf.sort_values(STEP)
-        q, out = np.full(slots + 1, empty), []
-        for step, value, take in zip(pdf[STEP], pdf[push], pdf[pop]):
+        def fold(step, value, take):
             if step >= 1:
                 if take:
-                    full = np.flatnonzero(q[1:] != empty)
-                    if len(full):
-                        q[0], q[1 + full[0]] = q[1 + full[0]], empty
+                    full = next((i for i in range(1, slots + 1) if q[i] != empty), None)
+                    if full:
+                        q[0], q[full] = q[full], empty
                 if value != empty:
-                    free = np.flatnonzero(q[1:] == empty)
-                    if not len(free):
+                    free = next((i for i in range(1, slots + 1) if q[i] == empty), None)
+                    if free is None:
                         raise ValueError("the collection is full")
-                    q[1 + free[0]] = value
-            out.append(q.copy())
-        return pdf.assign(queue=out)
+                    q[free] = value
+            return (list(q),)
 
-    schema = T.StructType([*df.schema.fields, T.StructField("queue", T.ArrayType(T.DoubleType()))])
-    return df.groupBy(ID).applyInPandas(run, schema).select(*cols, "queue")
+        return fold
+
+    return folded(df, [push, pop], start, {"queue": T.ArrayType(T.DoubleType())})
 
 
 def weighted_resample(df: DataFrame, log_weights: Sequence[str], values: Sequence[str], depth: int, discount: float, draw: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -11,15 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rng import stream
-from ..series import ID, STEP
+from ..series import ID, STEP, folded
 from .likelihood import Prior, posterior_moments
 from .numeric import log_sum_exp
 
 
-def _with(df: DataFrame, *names: str) -> T.StructType:
-    return T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
-
-
 def enkf_analysis(forecast: np.ndarray, y: np.ndarray, noise: np.ndarray, observed: Sequence[int], inflation: float = 1.0, g: np.random.Generator | None = None) -> np.ndarray:
     """The analysis ensemble (members by dimensions). Without a generator the observation is
     not perturbed."""
@@ -34,26 +32,30 @@ def enkf_analysis(forecast: np.ndarray, y: np.ndarray, noise: np.ndarray, observ
 
 def ensemble_kalman_filter(df: DataFrame, observation: str, *, members: int, persistence: float, process_variance: float, noise: float, inflation: float = 1.0, seed: int = 0) -> DataFrame:
     """Filters a scalar autoregressive state against each series: adds ``filtered`` and ``spread``.
-    Series are independent groups; in a series each step needs the one before, and the gain of
+    Series are independent folds; in a series each step needs the one before, and the gain of
     a single observed value is a quotient."""
-    schema, inflate = _with(df, "filtered", "spread"), np.sqrt(inflation)
+    inflate, walk, wrong = np.sqrt(inflation), np.sqrt(process_variance), np.sqrt(noise)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(STEP)
-        g = stream(seed, str(pdf[ID].iloc[0]), "enkf")
-        x, ensembles = g.standard_normal(members), np.empty((len(pdf), members))
-        for k, y in enumerate(pdf[observation].to_numpy(float)):
+    def start(series):
+        g = stream(seed, str(series), "enkf")
+        x = g.standard_normal(members)
+
+        def fold(step, y):
+            nonlocal x
             z = g.standard_normal((2, members))
-            x = persistence * x + np.sqrt(process_variance) * z[0]
+            x = persistence * x + walk * z[0]
             mean = x.sum() / members
             anomalies = inflate * (x - mean)
             seen = anomalies @ anomalies / (members - 1)
             x = mean + anomalies
-            x += seen / (seen + noise) * (y + np.sqrt(noise) * z[1] - x)
-            ensembles[k] = x
-        return pdf.assign(filtered=ensembles.mean(1), spread=ensembles.std(1, ddof=1))
+            x += seen / (seen + noise) * (y + wrong * z[1] - x)
+            mean = x.sum() / members
+            off = x - mean
+            return mean, (off @ off / (members - 1)) ** 0.5
 
-    return df.groupBy(ID).applyInPandas(run, schema)
+        return fold
+
+    return folded(df, [observation], start, {"filtered": T.DoubleType(), "spread": T.DoubleType()})
 
 
 def particle_posterior(params: np.ndarray, loglikes: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -168,25 +170,25 @@ def posterior_estimation(df: DataFrame, col: str, noise: float, prior: Prior, *,
     """Adds post_mean and post_var of a series' mean: each step draws a parameter around the
     running posterior, scores the latest ``depth`` rows under it, and blends it in by its share
     of the discounted evidence. One sequential chain per series, many series in parallel."""
-    schema = _with(df, "post_mean", "post_var")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(STEP)
-        g, x = stream(seed, str(pdf[ID].iloc[0]), "posterior"), pdf[col].to_numpy(float)
-        mean, var, past = prior.sample(g), prior.variance(), -np.inf
-        means, variances = [], []
-        for k in range(len(x)):
-            if k >= depth:
-                theta = g.normal(mean, np.sqrt(max(var, 0.01 * prior.variance())))
+    half_log, floor = 0.5 * depth * math.log(2 * math.pi * noise), 0.01 * prior.variance()
+
+    def start(series):
+        g, window = stream(seed, str(series), "posterior"), deque(maxlen=depth)
+        mean, var, past = prior.sample(g), prior.variance(), -math.inf
+
+        def fold(step, x):
+            nonlocal mean, var, past
+            window.append(x)
+            if step >= depth:
+                theta = g.normal(mean, math.sqrt(max(var, floor)))
                 if prior.inside(theta):
-                    window = x[k - depth + 1 : k + 1]
-                    ll = float(-0.5 * (((window - theta) ** 2 / noise) + np.log(2 * np.pi * noise)).sum())
-                    past = past + np.log(discount)
-                    total = log_sum_exp(np.array([past, ll]))
-                    w = np.exp(ll - total)
+                    loglike = -0.5 * sum((v - theta) ** 2 for v in window) / noise - half_log
+                    past = past + math.log(discount)
+                    total = float(np.logaddexp(past, loglike))
+                    w = math.exp(loglike - total)
                     mean, var, past = (1 - w) * mean + w * theta, (1 - w) * var + w * (theta - mean) ** 2, total
-            means.append(mean)
-            variances.append(var)
-        return pdf.assign(post_mean=means, post_var=variances)
+            return mean, var
+
+        return fold
 
-    return df.groupBy(ID).applyInPandas(run, schema)
+    return folded(df, [col], start, {"post_mean": T.DoubleType(), "post_var": T.DoubleType()})

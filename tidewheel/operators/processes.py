@@ -12,9 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rng
-from ..series import ID, STEP, TIME, by_step
+from ..series import ID, STEP, TIME, by_step, folded
 from .kernels import Kernel
 
 
@@ -89,29 +90,28 @@ def geometric_brownian(df: DataFrame, variances: Sequence[float], init: Sequence
 
 
 def ornstein_uhlenbeck(df: DataFrame, thetas, mus, sigmas, init, seed: int, dt: float = 1.0, exact: bool = False) -> DataFrame:
-    """Mean reversion: a linear recurrence, folded per member and lane over its increments."""
+    """Mean reversion: a linear recurrence, folded by member over its increments."""
     import numpy as np
-    import pandas as pd
 
     th, mu, sg, x0 = (np.array(v, float) for v in (thetas, mus, sigmas, init))
     decay = np.exp(-th * dt) if exact else 1 - th * dt
     with np.errstate(divide="ignore", invalid="ignore"):
         sd = np.where(th == 0, sg * dt**0.5, sg * np.sqrt((1 - np.exp(-2 * th * dt)) / (2 * th))) if exact else sg * dt**0.5
-    n = len(x0)
-    z = df.select(ID, STEP, TIME, *[rng.normal(seed, *_keys(i)).alias(f"x{i}") for i in range(n)])
-    cols = [f"x{i}" for i in range(n)]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(STEP)
-        noise, out = pdf[cols].to_numpy() * sd, np.empty((len(pdf), n))
-        x = x0.copy()
-        for k in range(len(pdf)):
-            if k:
-                x = mu + (x - mu) * decay + noise[k]
-            out[k] = x
-        return pdf.assign(**{c: out[:, i] for i, c in enumerate(cols)})
-
-    return z.groupBy(ID).applyInPandas(run, z.schema)
+    lanes = range(len(x0))
+    rule = [tuple(map(float, v)) for v in zip(mu, decay, np.broadcast_to(sd, x0.shape))]
+
+    def start(series):
+        x = [float(v) for v in x0]
+
+        def fold(step, *noise):
+            if step:
+                x[:] = [m + (v - m) * d + s * e for v, (m, d, s), e in zip(x, rule, noise)]
+            return tuple(x)
+
+        return fold
+
+    z = df.select(ID, STEP, TIME, *[rng.normal(seed, *_keys(i)).alias(f"__z{i}") for i in lanes])
+    return folded(z, [f"__z{i}" for i in lanes], start, {f"x{i}": T.DoubleType() for i in lanes}).drop(*[f"__z{i}" for i in lanes])
 
 
 def recorded_intensity(df: DataFrame, background: float, kernel: Kernel, depth: int) -> DataFrame:

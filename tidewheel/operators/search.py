@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from copy import deepcopy
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
@@ -112,6 +113,19 @@ class Mast:
         return int(g.choice(len(keys), p=w / w.sum()))
 
 
+def winner_scores(winner: int, players: int, done: bool) -> tuple[float, ...] | None:
+    """Scores of a game whose end names a winner: 1 for them, 0 for the others and, if it names
+    none of the players, for all; nothing before the end."""
+    return tuple(float(p == winner) for p in range(players)) if done else None
+
+
+def progress_scores(progress: Callable[[Any, int], float | None], state, players: int) -> tuple[float, ...] | None:
+    """Scores of a cut playout by how far each player is, 0 for one of whom nothing is known.
+    Nothing known of anyone, or only zeros, tells no action from another and scores nothing."""
+    known = [progress(state, p) for p in range(players)]
+    return tuple(v or 0.0 for v in known) if any(known) else None
+
+
 @dataclass
 class _Node:
     state: Any
@@ -123,7 +137,11 @@ class _Node:
 
 @dataclass
 class Search:
-    """UCT. With ``chance`` an action has several outcome nodes, widened as it is visited."""
+    """UCT. With ``chance`` an action has several outcome nodes, widened as it is visited.
+
+    A playout that is cut before an end is scored by ``progress``, if there is one. Without a
+    score its path counts as visited, and no player gets anything.
+    """
 
     env: Any
     simulations: int = 120
@@ -134,21 +152,23 @@ class Search:
     widen: float = 1.0
     power: float = 0.5
     mast: Mast | None = None
+    progress: Callable[[Any, int], float | None] | None = None
+    tree: _Node | None = None
 
-    def rollout(self, state, g) -> Sequence[float]:
+    def rollout(self, state, g) -> Sequence[float] | None:
         played = []
         for _ in range(self.rollout_steps):
-            s = self.env.scores(state)
-            if s is not None:
+            legal = list(self.env.legal(state)) if self.env.scores(state) is None else []
+            if not legal:
                 break
-            legal = list(self.env.legal(state))
             keys = [(self.env.actor(state), a) for a in legal]
             k = self.mast.pick(keys, g) if self.mast else int(g.integers(len(legal)))
             played.append(keys[k])
             state = self.env.apply(state, legal[k], g)
         s = self.env.scores(state)
-        s = s if s is not None else [0.5] * self.env.players
-        if self.mast:
+        if s is None and self.progress:
+            s = progress_scores(self.progress, state, self.env.players)
+        if self.mast and s is not None:
             for key in played:
                 self.mast.add(key, s[key[0]])
         return s
@@ -172,9 +192,17 @@ class Search:
         n = sum(c.visits for c in node.children[action])
         return sum(c.wins for c in node.children[action]) / n + self.exploration * math.sqrt(math.log(node.visits) / n)
 
+    def advance(self, action: int, state) -> None:
+        """Make the node that ``action`` led to the root, with all that is known below it; an
+        outcome that the search never saw starts a new tree."""
+        known = self.tree.children.get(action, []) if self.tree else []
+        self.tree = next((n for n in known if n.state == state), _Node(state))
+
     def run(self, state, g: np.random.Generator) -> tuple[int, dict[int, int]]:
-        """The best action, by visits, then wins, then chance, and the visits of each."""
-        root = _Node(state)
+        """The best action, by visits, then wins, then chance, and the visits of each. The tree
+        of an earlier run is grown further if it has been advanced to this state."""
+        root = self.tree if self.tree is not None and self.tree.state == state else _Node(state)
+        self.tree = root
         for _ in range(self.simulations):
             node, path = root, [(root, None)]
             for _ in range(self.depth):
@@ -182,6 +210,8 @@ class Search:
                     break
                 if node.untried is None:
                     node.untried = list(g.permutation(list(self.env.legal(node.state))))
+                if not node.untried and not node.children:
+                    break
                 actor = self.env.actor(node.state)
                 fresh = bool(node.untried)
                 action = int(node.untried.pop()) if fresh else max(node.children, key=lambda a: self._value(node, a))
@@ -192,7 +222,7 @@ class Search:
             s = self.rollout(node.state, g)
             for n, actor in path:
                 n.visits += 1
-                n.wins += s[actor] if actor is not None else 0.0
+                n.wins += s[actor] if actor is not None and s is not None else 0.0
         visits = {a: sum(c.visits for c in cs) for a, cs in root.children.items()}
         wins = {a: sum(c.wins for c in cs) for a, cs in root.children.items()}
         top = max((visits[a], wins[a]) for a in visits)
@@ -200,19 +230,21 @@ class Search:
         return ties[int(g.integers(len(ties)))], visits
 
 
-def self_play(spark: SparkSession, env: Callable[[], Any], games: int, *, seed: int = 0, **options) -> DataFrame:
-    """Games of the search against itself: one row a game with its moves and first score."""
+def self_play(spark: SparkSession, env: Callable[[], Any], games: int, *, seed: int = 0, keep: bool = False, **options) -> DataFrame:
+    """Games of the search against itself: one row a game with its moves and first score. With
+    ``keep`` a move's tree is the start of the next one's."""
 
     def run(batches):
         for b in batches:
             out = []
             for game in b["id"]:
                 e, g = env(), stream(seed, int(game), "game")
-                state, moves = e.start(), []
+                state, moves, search = e.start(), [], Search(e, **deepcopy(options))
                 while e.scores(state) is None:
-                    action, _ = Search(e, **options).run(state, g)
+                    action, _ = search.run(state, g)
                     moves.append(action)
                     state = e.apply(state, action, g)
+                    search.advance(action, state) if keep else setattr(search, "tree", None)
                 out.append((int(game), len(moves), moves, float(e.scores(state)[0])))
             yield pd.DataFrame(out, columns=["game", "n_moves", "moves", "score"])
 
@@ -229,7 +261,7 @@ def plan(spark: SparkSession, env: Callable[[], Any], roots: int, *, seed: int =
             out = []
             for r in b["id"]:
                 e, g = env(), stream(seed, int(r), "plan")
-                _, visits = Search(e, **options).run(e.start(), g)
+                _, visits = Search(e, **deepcopy(options)).run(e.start(), g)
                 out += [(int(a), int(n)) for a, n in visits.items()]
             yield pd.DataFrame(out, columns=["action", "visits"])
 

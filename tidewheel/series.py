@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ID, STEP, TIME = "series_id", "step", "time"
 
@@ -81,6 +82,31 @@ def in_chunks(df: DataFrame, depth: int, operator: Callable[[DataFrame], DataFra
     return out.where(F.col(f"{ID}.__chunk") == chunk).withColumn(ID, F.col(f"{ID}.{ID}"))
 
 
+def folded(df: DataFrame, read: Sequence[str], start: Callable[[object], Callable[..., tuple]], out: dict[str, T.DataType]) -> DataFrame:
+    """Adds columns that a fold of each series gives, step by step: ``start(series id)`` makes
+    a function from the step and the columns ``read`` to a row's values of ``out``.
+
+    A task streams its series in order and holds one fold, so neither the number of series nor
+    a series' length costs memory. A number that is null is read as NaN.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        last, fold = (), None
+        for b in batches:
+            at = {n: i for i, n in enumerate(b.schema.names)}
+            ids, rows = b.column(at[ID]).to_pylist(), []
+            for key, *values in zip(ids, *[b.column(at[c]).to_numpy(zero_copy_only=False).tolist() for c in (STEP, *read)]):
+                if last != (key,):
+                    last, fold = (key,), start(key)
+                rows.append(fold(*values))
+            made = [pa.array(list(v)) for v in zip(*rows)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *out])
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in out.items()]])
+    return df.repartition(ID).sortWithinPartitions(ID, STEP).mapInArrow(run, schema)
+
+
 def values_of(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in (ID, STEP, TIME)]
 

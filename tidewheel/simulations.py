@@ -125,9 +125,11 @@ def process_invariants(spark, d):
     return out
 
 
+_OBSERVED = np.random.default_rng(0).normal(2.0, 1.0, 50)
+
+
 def smc_posterior(spark, d):
-    data = np.random.default_rng(0).normal(2.0, 1.0, 50)
-    return inference.run_smc(spark, [Prior("uniform", -5.0, 10.0)], lambda x, g: float(-0.5 * ((data - x[0]) ** 2).sum()), particles=400, rounds=3)
+    return inference.run_smc(spark, [Prior("uniform", -5.0, 10.0)], lambda x, g: float(-0.5 * ((_OBSERVED - x[0]) ** 2).sum()), particles=400, rounds=3)
 
 
 def enkf_filter(spark, d):
@@ -159,6 +161,51 @@ def mcts_plan(spark, d):
     return search.plan(spark, lambda: search.SimulationEnvironment(_drift, (0.0,), 3, 4, 0.95, -20.0, 0.0), 16, simulations=60, chance=True)
 
 
+def _checked(df: DataFrame, name: str, holds) -> DataFrame:
+    broken = F.sum(F.when(F.coalesce(holds, F.lit(False)), 0).otherwise(1))
+    return df.agg(F.count(F.lit(1)).cast("int").alias("n"), F.coalesce(broken, F.lit(0)).cast("int").alias("broken")).select(F.lit(name).alias("name"), "n", "broken")
+
+
+#: The filter's variance once it no longer depends on the start, from P = 400 (0.81 P + 100) / (0.81 P + 500).
+_SETTLED = ((-176 + (176**2 + 4 * 0.81 * 40_000) ** 0.5) / (2 * 0.81)) ** 0.5
+
+
+def inference_invariants(spark, d):
+    """Per operator: rows, and rows that contradict what must hold of each, whatever was drawn:
+    the exact posterior, the optimum, the settled spread, possible steps, legal games."""
+    from pyspark.sql import Window
+
+    c = F.col
+    state = lambda df: df.withColumn("x", F.element_at("state", 1))
+    before = lambda *by: F.lag("x").over(Window.partitionBy(ID, *by).orderBy(STEP))
+    smc = smc_posterior(spark, d).where(c("round") == 2)
+    spread = enkf_filter(spark, d).where(c(STEP) >= 3).agg(F.avg("spread").alias("s"))
+    hawkes = state(hawkes_ensemble(spark, d))
+    hawkes = hawkes.withColumn("y", before("partition_name"))
+    event = (c("partition_name") == "events") & (c("x") - c("y")).isin(0.0, 1.0) | (c("partition_name") == "intensity") & (c("x") >= 0.2 - 1e-12)
+    jumps = state(ctmc_ensemble(spark, d))
+    jumps = jumps.withColumn("y", before())
+    fish = expression_ensemble(spark, d).groupBy(ID, STEP).pivot("partition_name", ["fish", "caught"]).agg(F.first(F.element_at("state", 1)))
+    fish = fish.withColumn("y", F.lag("caught").over(Window.partitionBy(ID).orderBy(STEP)))
+    games, plan = mcts_games(spark, d), mcts_plan(spark, d)
+    best = plan.agg(F.max_by("action", "visits").alias("a"), F.sum("visits").alias("v"))
+    rows = [
+        _checked(smc, "smc_posterior", (F.abs(c("mean_0") - float(_OBSERVED.mean())) < 0.06) & c("cov_0_0").between(0.01, 0.03)),
+        _checked(evolution(spark, d), "evolution", (F.abs(c("mean_0") - 3) < 0.01) & (F.abs(c("mean_1") + 2) < 0.01) & c("best").between(-1e-4, 0)),
+        _checked(spread, "enkf_filter", F.abs(c("s") / _SETTLED - 1) < 0.1),
+        _checked(posterior_chain(spark, d), "posterior_chain", c("post_mean").between(0, 200) & c("post_var").between(0, 200**2) & ((c(STEP) >= 10) | (F.abs(c("post_var") - 200**2 / 12) < 1e-6))),
+        _checked(hawkes.where(c(STEP) >= 1), "hawkes_process", event),
+        _checked(jumps.where(c(STEP) >= 1), "categorical_state_transition", c("x").isin(0.0, 1.0, 2.0) & (F.abs(c("x") - c("y")) <= 1)),
+        _checked(fish.where(c(STEP) >= 1), "expression", (c("fish") > 0) & (F.abs(c("caught") - c("y") - 0.1 * c("fish")) < 1e-9)),
+        _checked(games, "mcts_self_play", c("n_moves").between(5, 9) & (F.size(F.array_distinct("moves")) == c("n_moves")) & F.forall("moves", lambda m: m.between(0, 8)) & (c("score").isin(0.0, 1.0) | (c("score") == 0.5) & (c("n_moves") == 9))),
+        _checked(best, "mcts_planning", (c("a") == 2) & (c("v") == 16 * 60)),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 QUERIES = {
     f.__name__: f
     for f in (
