@@ -12,8 +12,8 @@ from tidewheel.operators.search import Search, SimulationEnvironment, TicTacToe,
 from tidewheel.plans.graph import Graph
 from tidewheel.plans.iterations import REGISTRY
 from tidewheel.plans.program import Program, ProgramError
-from tidewheel.plans.simulate import Clock, Partition, Settings, ensemble, simulate
-from tidewheel.series import ID, STEP
+from tidewheel.plans.simulate import Clock, Partition, Settings, ensemble, member_function, simulate
+from tidewheel.series import ID, STEP, DataRef, to_long
 from tidewheel.sources import readers, writers
 from tidewheel.streaming import stateful
 
@@ -47,6 +47,30 @@ def test_simple_types():
     assert simulate(Settings(s, 3))["top"][-1].tolist() == [9, 9, 5, 5]
 
 
+def test_a_collection_feeds_another():
+    source = Partition("a", {"type": "values_collection"}, {"values_state_width": [1], "empty_value": [-1], "next_values_push": [-1], "pop": [1]}, init_state_values=(-1, 7, 8, -1))
+    sink = Partition("b", {"type": "values_collection"}, {"values_state_width": [1], "empty_value": [-1], "pop": [0]}, {"other_partition": ["a"]}, init_state_values=(-1, -1, -1, -1))
+    got = simulate(Settings([source, sink], 2))
+    assert got["a"][-1].tolist() == [8, -1, -1, -1] and got["b"].tolist() == [[-1] * 4, [-1] * 4, [-1, 7, -1, -1]]
+
+
+def test_members_as_a_table_function(spark):
+    settings = Settings([Partition("w", {"type": "wiener_process"}, {"variances": [1.0]}, init_state_values=[0.0])], 6)
+    spark.udtf.register("members", member_function(settings))
+    got = spark.sql("SELECT m.* FROM VALUES (0), (1) AS s(seed), LATERAL members(s.seed, 4) m")
+    want = ensemble(spark, settings, 2).where(F.col(STEP) <= 4)
+    key = lambda df: sorted((r[ID], r[STEP], r["time"], tuple(r["state"])) for r in df.collect())
+    assert key(got) == key(want) and got.count() == 10
+
+
+def test_a_single_row_is_guarded(spark):
+    long = to_long(spark.createDataFrame([(1, k, float(k), k * 2.0) for k in range(4)], f"{ID} long, {STEP} long, time double, v double"), {"p": ["v"]})
+    assert [tuple(r) for r in DataRef("p").row(long, 1, 3).collect()] == [(1, 3, 3.0, 6.0)]
+    for step in (4, -1):
+        with pytest.raises(Exception, match="beyond the last"):
+            DataRef("p").row(long, 1, step).collect()
+
+
 def test_window_types():
     data = [[1.0, 4.0], [2.0, 5.0], [3.0, 6.0]]
     src = Partition("d", {"type": "from_storage", "data": data}, init_state_values=data[0], state_history_depth=2)

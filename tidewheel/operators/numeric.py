@@ -76,11 +76,12 @@ def ols(rows: np.ndarray, intercept: bool, least: float) -> np.ndarray:
 
 
 def pushed(c, value: str, partition: str, indices: str) -> np.ndarray:
-    """Values to push: given, or picked from another partition's committed row."""
+    """Values to push: given, or of another partition's committed row: those picked, or, if
+    that partition is a collection and none are, what it popped last, its first slot."""
     if c.has(value):
         return c.p(value)
     row = c.past(c.partitions(partition)[0])[0]
-    return row[c.p(indices).astype(int)]
+    return row[c.p(indices).astype(int)] if c.has(indices) else row[: int(c.p("values_state_width")[0])]
 
 
 def digamma(x: np.ndarray) -> np.ndarray:

@@ -223,3 +223,20 @@ def ensemble(spark: SparkSession, settings: Settings, seeds: Iterable[int] | int
             yield pd.DataFrame(out, columns=[ID, "partition_name", STEP, TIME, "state"])
 
     return members.mapInPandas(run, SCHEMA)
+
+
+def member_function(settings: Settings):
+    """A table function of (seed, steps): the long rows of one member, for SQL's lateral joins
+    after ``spark.udtf.register(name, ...)``. Fewer steps than the settings have cut the run."""
+    from pyspark.sql.functions import udtf
+
+    class Member:
+        def eval(self, seed: int, steps: int):
+            for step, t, by in Run(settings, int(seed)):
+                if step > steps:
+                    return
+                for n, r in by.items():
+                    if settings.record is None or settings.record(n, step):
+                        yield int(seed), n, step, float(t), [float(v) for v in r]
+
+    return udtf(Member, returnType=SCHEMA)

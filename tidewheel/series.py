@@ -160,6 +160,14 @@ class DataRef:
         picks = range(width) if self.indices is None else self.indices
         return rows.select(ID, STEP, TIME, *[F.element_at("state", i + 1).alias(f"{self.partition} {i}") for i in picks])
 
+    def row(self, long: DataFrame, width: int, step: int) -> DataFrame:
+        """The row of each series at a step, or an error on reading for one that is shorter."""
+        rows = DataRef(self.partition, self.indices, None, self.is_time).read(long, width)
+        last = rows.groupBy(F.col(ID).alias("__i")).agg(F.max(STEP).alias("__last"))
+        short = F.raise_error(F.concat(F.lit(f"step {step} is beyond the last, "), F.col("__last").cast("string")))
+        last = last.select("__i", F.when((F.col("__last") >= step) & F.lit(step >= 0), F.lit(step)).otherwise(short).cast("long").alias("__at"))
+        return last.join(rows, F.col(ID).eqNullSafe(F.col("__i")) & (F.col(STEP) == F.col("__at"))).drop("__i", "__at", "__last")
+
 
 #: Elements of an embedding.
 EMBEDDING = 64
