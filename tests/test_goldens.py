@@ -166,3 +166,24 @@ def test_covariance_pairs_leave_nulls_out(spark):
     assert got.keys() == want.keys() and None in want.values()
     for k, v in want.items():
         assert (got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9), k
+
+
+def test_decimal_weights_are_summed_exactly(spark):
+    df = spark.range(7).select(F.lit(0).alias(ID), F.col("id").alias(STEP), F.col("id").cast("double").alias("time"), F.lit(1.5).alias("x"), F.when(F.col("id") < 6, 1.0).otherwise(2.0).alias("g"))
+    kernel = kernels.Binned([1.0] + [0.09] * 9, 1.0)
+    assert kernel.decimals == 2 and kernels.Binned([1 / 3], 1.0).decimals is None and kernels.Binned([1e13], 1.0).decimals is None
+    got = rows(grouped_aggregation(df, ["x"], [["g"]], "count", depth=6, groups=[[1]], kernel=kernel), "value")
+    assert got[-1] == [0.54]  # 0.5399999999999999 as a sum of doubles
+
+
+def test_binned_mean_matches_sql_on_ties(spark):
+    import duckdb
+
+    from tidewheel.catalog import ORACLE, QUERIES
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.001/events.parquet'")
+    want = {(a, b, int(c)): v for a, b, c, v in con.sql(ORACLE["grouped_binned_mean"]).fetchall()}
+    got = {(r[ID], r[STEP], r["key"]): r["value"] for r in QUERIES["grouped_binned_mean"](spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-9

@@ -44,12 +44,17 @@ def group_list(df: DataFrame, keys: Sequence[Sequence[str]], precision: int) ->
     return [list(r.key) for r in sorted(rows, key=lambda r: r.group_idx)]
 
 
-def _weighted(aggregation: str | Callable[[Column], Column], pairs: Column) -> Column:
-    """Of an array of (w, x): an aggregation by name, or a function of the array."""
+def _weighted(aggregation: str | Callable[[Column], Column], pairs: Column, decimals: int | None) -> Column:
+    """Of an array of (w, x): an aggregation by name, or a function of the array. Weights that are
+    decimals are summed as such: 0.09 six times is 0.54, not the double below it."""
     if callable(aggregation):
         return aggregation(pairs)
     total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + f(p))
-    n = total(lambda p: p["w"])
+    if decimals is None:
+        n = total(lambda p: p["w"])
+    else:
+        kind = f"decimal(30,{decimals})"
+        n = F.aggregate(pairs, F.lit(0).cast(kind), lambda a, p: (a + p["w"].cast(kind)).cast(kind)).cast("double")
     products = F.transform(pairs, lambda p: p["w"] * p["x"])
     return {
         "count": n, "sum": total(lambda p: p["w"] * p["x"]), "mean": ieee.divide(total(lambda p: p["w"] * p["x"]), n), "max": F.array_max(products), "min": F.array_min(products),
@@ -88,7 +93,7 @@ def grouped_aggregation(
         framed = grid.withColumn("__h", F.collect_list(F.struct(TIME, "__x", "xs")).over(w))
         pairs = F.flatten(F.transform("__h", lambda r: F.transform(r["xs"], lambda x: F.struct(weigh(r).cast("double").alias("w"), x.alias("x")))))
         framed = framed.withColumn("__p", pairs)
-        value = F.when((F.col(STEP) >= 1) & (F.size("__p") > 0), F.coalesce(_weighted(aggregation, F.col("__p")), F.lit(default))).otherwise(default)
+        value = F.when((F.col(STEP) >= 1) & (F.size("__p") > 0), F.coalesce(_weighted(aggregation, F.col("__p"), known.decimals), F.lit(default))).otherwise(default)
         return framed.select(ID, STEP, "group_idx", "key", value.alias("value"))
     some = F.size("xs") > 0
     parts = grid.select(

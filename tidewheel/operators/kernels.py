@@ -2,20 +2,27 @@
 
 ``weight(t, s, x, y)``: times and value columns of the latest and of the past row. A kernel
 that depends on neither is marked ``constant``, and rolling operators then use the built-in
-frame aggregates.
+frame aggregates. ``decimals`` is set where every weight is a decimal number of so many places,
+whose sums are then taken without rounding.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Weights below 10^12 with up to so many places are summed as decimals.
+MOST_DECIMALS = 12
+
+
 class Kernel:
     constant = False
+    decimals: int | None = None
 
     def weight(self, t: Column, s: Column, x: Sequence[Column], y: Sequence[Column]) -> Column:
         raise NotImplementedError
@@ -56,6 +63,10 @@ class Binned(Kernel):
 
     def __init__(self, values: Sequence[float], stepsize: float):
         self.values, self.stepsize = list(values), stepsize
+        written = [Decimal(repr(float(v))) for v in self.values]
+        if all(d.is_finite() and abs(d) < 10**12 for d in written):
+            places = max((-d.normalize().as_tuple().exponent for d in written), default=0)
+            self.decimals = max(0, places) if places <= MOST_DECIMALS else None
 
     def weight(self, t, s, x, y):
         return F.element_at(F.array(*[F.lit(float(v)) for v in self.values]), F.floor((t - s) / self.stepsize).cast("int") + 1)
