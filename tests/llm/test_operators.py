@@ -7,7 +7,9 @@ from collections import defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tidewheel.llm import chat, components, decontaminate, jaccard, packing, pii, quality, sharding, substrings, tokencount, warc
@@ -442,3 +444,29 @@ def test_longest_matches():
             return next((k for k in range(len(s)) if max(i, j) + k >= len(s) or s[i + k] != s[j + k]), len(s))
 
         assert longest_matches(s) == [max((same(i, j) for j in range(len(s)) if j != i), default=0) for i in range(len(s))]
+
+
+def test_jaccard_counts_move_tokens_a_few_times(monkeypatch):
+    """Many chunks of one range: what is sorted follows the tokens, not tokens times chunks."""
+    chunks, rng = 400, np.random.default_rng(3)
+    every = [np.sort(rng.integers(0, 20_000, 100).astype("u8")) for _ in range(chunks)]
+    blobs = [b"\x08" + zstandard.compress(np.diff(t, prepend=np.uint64(0)).astype("<u8").view("u1").reshape(-1, 8).T.tobytes(), 1) for t in every]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * chunks, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "tokens"])
+    moved, real = [], np.argsort
+    monkeypatch.setattr(jaccard, "_CHUNK", 1000)
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: (moved.append(len(x)), real(x, *a, **k))[1])
+    [got] = jaccard._merged(1 << 48, 3)([batch])
+    values, counts = np.unique(np.concatenate(every), return_counts=True)
+    assert got.column("token").to_pylist() == values[counts >= 3].tolist()
+    assert got.column("n").to_pylist() == counts[counts >= 3].tolist()
+    assert sum(moved) < 8 * 100 * chunks
+
+
+def test_jaccard_takes_the_most_frequent_tokens_that_fit(spark):
+    texts = [f"t{k} a b c d" for k in range(9, 16) for _ in range(k)]
+    rows = [(i, f"{t} x{i}") for i, t in enumerate(texts)]  # one shingle of count k each, for k from 9 to 15
+    for bound, want in ((0, []), (1, [15]), (3, [13, 14, 15]), (7, list(range(9, 16)))):
+        tokens, rank = jaccard.frequent_tokens(table(spark, rows), 5, 9, bound)
+        sets = {k: int(jaccard.shingle_set(f"t{k} a b c d")[0] >> np.uint64(16)) for k in range(9, 16)}
+        assert sorted(tokens.tolist()) == sorted(sets[k] for k in want)
+        assert len(rank) == len(want)

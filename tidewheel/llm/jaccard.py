@@ -24,7 +24,7 @@ components, or of the small ones, become tasks. So a group of near copies costs
 its size, no task holds an unbounded group, and no link is lost.
 
 The frequent tokens are at most ``hot_tokens``, the bound of the one broadcast array: the
-least count that makes a token frequent is doubled until they fit. Any choice is right, it
+least count that makes a token frequent is raised until they fit. Any choice is right, it
 only moves work: a token that stands in more than ``pair_rows`` prefixes joins its documents
 without pairs too, whatever its count. Which documents are candidates is broadcast behind a
 check of its size.
@@ -52,7 +52,9 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Other orders: the hash times an odd number.
 _ORDERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 BROADCAST_ROWS = 1 << 20
-_CHUNK = 1 << 20
+_CHUNK = 1 << 21
+#: Of text whose tokens one range may hold, about, if no file partition is larger than its setting.
+_RANGE_BYTES = 16 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -87,13 +89,56 @@ def rare_first(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.lexsort((s, r)), r
 
 
+def _merged(width: int, least: int):
+    """Tokens that occur ``least`` times or more, by ranges of sorted rows. A range's chunks are
+    gathered until they hold as many tokens as its counts do, and merged into them then, so a
+    token is moved a few times however many chunks there are."""
+
+    def run(batches):
+        values, counts, held, size, bucket = np.empty(0, "u8"), np.empty(0, "i8"), [], 0, None
+
+        def merge():
+            nonlocal values, counts, held, size
+            new, k = np.unique(np.concatenate(held), return_counts=True)
+            every = np.concatenate([values, new])
+            order = np.argsort(every, kind="stable")
+            every, both = every[order], np.concatenate([counts, k])[order]
+            first = np.flatnonzero(np.diff(every, prepend=every[0] + np.uint64(1)))
+            values, counts, held, size = every[first], np.add.reduceat(both, first), [], 0
+
+        def done():
+            if held:
+                merge()
+            keep = counts >= least
+            return pa.RecordBatch.from_arrays([pa.array(values[keep].astype("i8")), pa.array(counts[keep])], names=["token", "n"])
+
+        for batch in batches:
+            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("tokens").to_pylist()):
+                if b != bucket:
+                    if bucket is not None:
+                        yield done()
+                    values, counts, held, size, bucket = np.empty(0, "u8"), np.empty(0, "i8"), [], 0, b
+                w = blob[0]
+                raw = np.frombuffer(zstandard.decompress(blob[1:]), "u1").reshape(w, -1)
+                t = np.cumsum(np.ascontiguousarray(raw.T).view(f"<u{w}").reshape(-1).astype("u8")) + np.uint64(b * width)
+                held.append(t)
+                size += len(t)
+                if size >= max(_CHUNK, len(values)):
+                    merge()
+        if bucket is not None:
+            yield done()
+
+    return run
+
+
 def frequent_tokens(docs: DataFrame, n: int, least: int, hot_tokens: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent tokens (by the first 48 bits of the hash) and their ranks.
 
     Each task sorts its tokens and sends them packed, by ranges of the hash, so counting is a
-    few large rows per task; a range is merged chunk by chunk into its counts.
+    few large rows per task. Of counts that don't all fit the bound the greatest are taken.
     """
-    buckets = min(65_536, max(16, 8 * partitions(docs)))
+    most = docs.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    buckets = min(65_536, max(16, max(2, -(-most // _RANGE_BYTES)) * partitions(docs)))  # rows sent are ranges times chunks, so no more than memory asks for
     width = (1 << 48) // buckets + 1
 
     def sent(batches):
@@ -126,38 +171,18 @@ def frequent_tokens(docs: DataFrame, n: int, least: int, hot_tokens: int) -> tup
         if held:
             yield out()
 
-    def merged(batches):
-        values, counts, bucket = np.empty(0, "u8"), np.empty(0, "i8"), None
-
-        def done():
-            keep = counts >= least
-            return pa.RecordBatch.from_arrays([pa.array(values[keep].astype("i8")), pa.array(counts[keep])], names=["token", "n"])
-
-        for batch in batches:
-            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("tokens").to_pylist()):
-                if b != bucket:
-                    if bucket is not None:
-                        yield done()
-                    values, counts, bucket = np.empty(0, "u8"), np.empty(0, "i8"), b
-                w = blob[0]
-                raw = np.frombuffer(zstandard.decompress(blob[1:]), "u1").reshape(w, -1)
-                t = np.cumsum(np.ascontiguousarray(raw.T).view(f"<u{w}").reshape(-1).astype("u8")) + np.uint64(b * width)
-                new, k = np.unique(t, return_counts=True)
-                every = np.concatenate([values, new])
-                order = np.argsort(every, kind="stable")
-                every, both = every[order], np.concatenate([counts, k])[order]
-                first = np.flatnonzero(np.diff(every, prepend=every[0] + np.uint64(1)))
-                values, counts = every[first], np.add.reduceat(both, first)
-        if bucket is not None:
-            yield done()
-
     asked = docs.select("text").mapInArrow(sent, "bucket int, tokens binary")
-    found = written(asked.repartition(min(buckets, 4 * partitions(docs)), "bucket").sortWithinPartitions("bucket").mapInArrow(merged, "token long, n long"), "frequent")
-    classes = {r.c: r.k for r in found.groupBy(F.floor(F.log2("n")).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()}  # at most 64 rows
-    low = least.bit_length() - 1
-    while sum(k for c, k in classes.items() if c >= low) > hot_tokens:
-        low += 1
-    hot = found.where(F.col("n") >= max(least, 1 << low)).toPandas()  # at most hot_tokens rows
+    found = written(asked.repartition(min(buckets, 4 * partitions(docs)), "bucket").sortWithinPartitions("bucket").mapInArrow(_merged(width, least), "token long, n long"), "frequent")
+    # counts by their first seven bits, at most 64 for each power of two
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2("n")) - 6, F.lit(0))).cast("long")
+    classes = {r.c: r.k for r in found.groupBy((F.col("n") - F.col("n") % step).alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    low, left = least, hot_tokens
+    for c in sorted(classes, reverse=True):
+        if classes[c] > left:
+            low = c + (1 << max(0, c.bit_length() - 7))
+            break
+        left -= classes[c]
+    hot = found.where(F.col("n") >= low).toPandas()  # at most hot_tokens rows
     discard(found)
     order = np.argsort(hot["token"].to_numpy("u8"))
     return hot["token"].to_numpy("u8")[order], np.floor(np.log2(hot["n"].to_numpy("f8")[order])).astype("u1")
