@@ -9,6 +9,8 @@ appear as arrays only where a caller asks for them.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -33,6 +35,22 @@ def frame(depth: int) -> WindowSpec:
 
 #: Rows that a task should number or roll over at once, where a series may be cut.
 CHUNK_ROWS = 1_000_000
+#: Rows of a span where all that is done with it is to number it.
+SPAN_ROWS = 250_000
+#: Bytes of the files read, for each task that sorts series.
+TASK_BYTES = 8 << 20
+
+
+def spread(df: DataFrame, *by: str, by_range: bool = False) -> DataFrame:
+    """Rows dealt out by ``by``, over a number of tasks that follows the bytes of the files read,
+    so that what one task sorts stays as it is while tables grow. Where that is no more than the
+    cores, or the size is not known, Spark deals them out."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    tasks = -(-sum(s for s in sizes if s < 1 << 60) // TASK_BYTES)  # an RDD counts as the largest long
+    if tasks > df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartitionByRange(tasks, *by) if by_range else df.repartition(tasks, *by)
+    return df.repartitionByRange(*by) if by_range else df
 
 
 def _picked(df: DataFrame, series: Column, order: Sequence[str], time: Column, values: dict[str, Column]) -> DataFrame:
@@ -42,28 +60,37 @@ def _picked(df: DataFrame, series: Column, order: Sequence[str], time: Column, v
 def to_series(df: DataFrame, series: Column, order: Sequence[str], time: Column, values: dict[str, Column]) -> DataFrame:
     """Number the rows of each series from 0 by ``order``, which must be unique in a series."""
     w = Window.partitionBy(ID).orderBy(*[f"__o{i}" for i in range(len(order))])
-    return _picked(df, series, order, time, values).select(ID, (F.row_number().over(w) - 1).cast("long").alias(STEP), TIME, *values)
+    return spread(_picked(df, series, order, time, values), ID).select(ID, (F.row_number().over(w) - 1).cast("long").alias(STEP), TIME, *values)
 
 
 def to_long_series(df: DataFrame, series: Column, order: Sequence[str], time: Column, values: dict[str, Column], rows: int = CHUNK_ROWS) -> DataFrame:
-    """As ``to_series``, where one series may hold most rows; ``time`` must not fall along ``order``.
+    """As ``to_series``, where one series may hold most rows; ``time`` must not fall along ``order``."""
+    return numbered(_picked(df, series, order, time, values), [ID], [f"__o{i}" for i in range(len(order))], rows).select(ID, STEP, TIME, *values)
+
+
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int = SPAN_ROWS) -> DataFrame:
+    """Adds ``step``, the number of a row from 0 along ``order`` among those of equal ``by``, where
+    ``time`` does not fall along ``order``.
 
     A series of more than ``rows`` rows is cut into even spans of time, some ``rows`` rows each
     on average; a span's rows are numbered in a task of their own, from the count of those
-    before it. Only slim counts are shuffled besides the rows. Rows of one time stay together.
+    before it. Rows of one time stay together. The input is read three times and must be the
+    same each time; besides the rows only slim counts are shuffled, and those of spans, some two
+    for each ``rows`` rows at most, are broadcast.
     """
-    picked = _picked(df, series, order, time, values)
     n = F.count(F.lit(1))
-    giant = picked.groupBy(F.col(ID).alias("__g")).agg(F.min(TIME).alias("__t0"), ((F.max(TIME) - F.min(TIME)) / F.ceil(n / rows)).alias("__w"), n.alias("__n"))
-    cut = picked.join(giant.where(F.col("__n") > rows), F.col(ID).eqNullSafe(F.col("__g")), "left")
+    named = lambda p: [F.col(c).alias(f"{p}{i}") for i, c in enumerate(by)]
+    same = lambda p: reduce(and_, [F.col(c).eqNullSafe(F.col(f"{p}{i}")) for i, c in enumerate(by)])
+    giant = df.groupBy(*named("__g")).agg(F.min(TIME).alias("__t0"), ((F.max(TIME) - F.min(TIME)) / F.ceil(n / rows)).alias("__w"), n.alias("__n"))
+    cut = df.join(F.broadcast(giant.where(F.col("__n") > rows)), same("__g"), "left")
     span = F.when(F.col("__w") > 0, F.coalesce(F.floor((F.col(TIME) - F.col("__t0")) / F.col("__w")), F.lit(0))).otherwise(0)
-    cut = cut.withColumn("__k", span.cast("long"))
-    counts = cut.where(F.col("__w") > 0).groupBy(F.col(ID).alias("__i"), F.col("__k").alias("__j")).agg(n.alias("__c"))
-    before = F.sum("__c").over(Window.partitionBy("__i").orderBy("__j").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("__i", "__j", before.alias("__b"))
-    at = F.row_number().over(Window.partitionBy(ID, "__k").orderBy(*[f"__o{i}" for i in range(len(order))]))
-    numbered = cut.withColumn("__at", at).join(counts, F.col(ID).eqNullSafe(F.col("__i")) & (F.col("__k") == F.col("__j")), "left")
-    return numbered.select(ID, (F.coalesce("__b", F.lit(0)) + F.col("__at") - 1).cast("long").alias(STEP), TIME, *values)
+    cut = cut.select(*df.columns, "__w", span.cast("long").alias("__k"))
+    counts = cut.where(F.col("__w") > 0).groupBy(*named("__i"), F.col("__k").alias("__j")).agg(n.alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(*[f"__i{i}" for i in range(len(by))]).orderBy("__j").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*[f"__i{i}" for i in range(len(by))], "__j", before.alias("__b"))
+    at = F.row_number().over(Window.partitionBy(*by, "__k").orderBy(*order))
+    placed = spread(cut.drop("__w"), *by, "__k").withColumn("__at", at).join(F.broadcast(counts), same("__i") & (F.col("__k") == F.col("__j")), "left")
+    return placed.select(*df.columns, (F.coalesce("__b", F.lit(0)) + F.col("__at") - 1).cast("long").alias(STEP))
 
 
 def in_chunks(df: DataFrame, depth: int, operator: Callable[[DataFrame], DataFrame], rows: int = CHUNK_ROWS) -> DataFrame:

@@ -12,10 +12,16 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..series import ID, STEP, TIME
+from ..series import ID, STEP, TIME, numbered
 
 
 def _numbered(df: DataFrame) -> DataFrame:
+    """Rows of files, which read the same each time: in spans of time, however many a partition has."""
+    return numbered(df, [ID, "partition_name"], [TIME, "state"]).select(ID, "partition_name", STEP, TIME, "state")
+
+
+def _numbered_at_once(df: DataFrame) -> DataFrame:
+    """Where a second read may differ from the first: each partition in one task."""
     w = Window.partitionBy(ID, "partition_name").orderBy(TIME, "state")
     return df.select(ID, "partition_name", (F.row_number().over(w) - 1).cast("long").alias(STEP), TIME, "state")
 
@@ -43,34 +49,38 @@ def read_postgres(spark: SparkSession, url: str, table: str, partitions: Sequenc
     quoted = ["'" + p.replace("'", "''") + "'" for p in partitions]
     predicates = [f"partition_name = {q} AND time BETWEEN {start!r} AND {end!r}" for q in quoted]
     raw = spark.read.jdbc(url, table, predicates=predicates, properties={"driver": "org.postgresql.Driver", **properties})
-    return _numbered(raw.select(F.lit(0).cast("long").alias(ID), "partition_name", TIME, F.col("state").cast("array<double>").alias("state")))
+    return _numbered_at_once(raw.select(F.lit(0).cast("long").alias(ID), "partition_name", TIME, F.col("state").cast("array<double>").alias("state")))
 
 
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow IPC files with ``time`` and a fixed-size list column per partition. Files are read
-    as binary by Spark's reader, so any store serves; other columns are skipped."""
+    """Arrow IPC files with ``time`` and a fixed-size list column per partition, or a folder of
+    them. Files are read as binary by Spark's reader, so any store serves, and go on by record
+    batches; a file must be under 2 GB. Other columns are skipped."""
     import pyarrow as pa
     import pyarrow.ipc
 
     def run(batches):
-        for b in batches:
-            for name, content in zip(b["path"], b["content"]):
-                t = pyarrow.ipc.open_file(pa.py_buffer(content)).read_all()
-                lists = [f.name for f in t.schema if pa.types.is_fixed_size_list(f.type) and pa.types.is_float64(f.type.value_type)]
-                frame = t.select(["time", *lists]).to_pandas()
-                for n in lists:
-                    yield frame[["time", n]].rename(columns={n: "state"}).assign(partition_name=n)[["partition_name", "time", "state"]]
+        for content in (c for b in batches for c in b.column(0)):
+            with pyarrow.ipc.open_file(content.as_buffer()) as f:
+                lists = [c.name for c in f.schema if pa.types.is_fixed_size_list(c.type) and pa.types.is_float64(c.type.value_type)]
+                for i in range(f.num_record_batches):
+                    b = f.get_batch(i)
+                    time = b.column("time").cast(pa.float64())
+                    for n in lists:
+                        yield pa.RecordBatch.from_arrays([pa.array([n] * len(b), pa.string()), time, b.column(n).cast(pa.list_(pa.float64()))], names=["partition_name", "time", "state"])
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return _numbered(raw.mapInPandas(run, "partition_name string, time double, state array<double>").select(F.lit(0).cast("long").alias(ID), "partition_name", TIME, "state"))
+    raw = spark.read.format("binaryFile").load(path).select("content")
+    return _numbered(raw.mapInArrow(run, "partition_name string, time double, state array<double>").select(F.lit(0).cast("long").alias(ID), "partition_name", TIME, "state"))
 
 
 def from_dataframe(df: DataFrame, partition: str, columns: Sequence[str] | None = None, time: str | None = "time") -> DataFrame:
-    """Columns "0", "1", ... (or those named) of one partition, with a time or numbered."""
+    """Columns "0", "1", ... (or those named) of one partition, with a time or numbered. A plan
+    that Spark doesn't know to give the same rows each time is numbered in one task."""
     columns = list(columns or sorted((c for c in df.columns if c.isdigit()), key=int))
     state = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
     t = F.col(time).cast("double") if time and time in df.columns else F.monotonically_increasing_id().cast("double")
-    return _numbered(df.select(F.lit(0).cast("long").alias(ID), F.lit(partition).alias("partition_name"), t.alias(TIME), state.alias("state")))
+    rows = df.select(F.lit(0).cast("long").alias(ID), F.lit(partition).alias("partition_name"), t.alias(TIME), state.alias("state"))
+    return (_numbered if rows._jdf.queryExecution().analyzed().deterministic() else _numbered_at_once)(rows)
 
 
 def replay_history(df: DataFrame, depth: int) -> DataFrame:

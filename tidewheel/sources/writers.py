@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..series import ID, STEP, TIME, to_wide
+from ..series import ID, STEP, TIME, spread, to_wide
 
 
 def condition(long: DataFrame, kind: str = "every_step", n: int = 1, partitions: Sequence[str] = ()) -> DataFrame:
@@ -48,30 +48,74 @@ def write_csv(long: DataFrame, path: str, partition: str, width: int) -> None:
     rows.select(TIME, *[F.get("state", F.lit(i)).alias(str(i)) for i in range(width)]).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_arrow(long: DataFrame, path: str, widths: dict[str, int]) -> None:
-    """One Arrow IPC file of one run: ``time`` and a fixed-size list per partition. Its rows go
-    through the driver in batches; Parquet is the form for more than a file. Partitions must
-    have a row at every step."""
+#: Rows of an Arrow file, and of a record batch in it.
+FILE_ROWS, BATCH_ROWS = 250_000, 10_000
+
+
+def filesystem(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
+
+
+def write_arrow(long: DataFrame, path: str, widths: dict[str, int], rows: int = FILE_ROWS) -> None:
+    """A folder of Arrow IPC files of one run: ``time`` and a fixed-size list per partition.
+    Tasks write the files, of at most ``rows`` rows each, by pyarrow, so the folder must be in a
+    store that it knows and all share; in the order of names they hold the run in order of
+    steps. Partitions must have a row at every step. What was at the path goes first."""
     import pyarrow as pa
     import pyarrow.ipc
+    from pyspark import TaskContext
 
-    wide = to_wide(long, list(widths)).orderBy(ID, STEP)
+    names = list(widths)
     schema = pa.schema([("time", pa.float64()), *[(n, pa.list_(pa.float64(), w)) for n, w in widths.items()]])
-    with pa.OSFile(path, "wb") as f, pyarrow.ipc.new_file(f, schema) as out:
-        rows = []
+
+    def fixed(column, name: str):
+        if column.null_count:
+            raise ValueError(f"a step has no row of partition {name!r}")
+        if len(column) and set(column.value_lengths().unique().to_pylist()) != {widths[name]}:
+            raise ValueError(f"a state of partition {name!r} has not {widths[name]} values")
+        return pa.FixedSizeListArray.from_arrays(column.flatten(), widths[name])
+
+    def emptied() -> tuple:
+        fs, base = filesystem(path)
+        if fs.get_file_info(base).is_file:
+            fs.delete_file(base)
+        fs.create_dir(base, recursive=True)
+        fs.delete_dir_contents(base)
+        return fs, base
+
+    def run(batches):
+        fs, base = filesystem(path)
+        task, parts = TaskContext.get(), 0
+        held, n = [], 0
 
         def flush():
-            out.write_batch(pa.RecordBatch.from_arrays([pa.array([r[TIME] for r in rows]), *[pa.array([r[n] for r in rows], pa.list_(pa.float64(), w)) for n, w in widths.items()]], schema=schema))
-            rows.clear()
-
-        for r in wide.toLocalIterator():
-            if any(r[n] is None for n in widths):
-                raise ValueError(f"step {r[STEP]} has no row of some partition")
-            rows.append(r)
-            if len(rows) >= 10_000:
-                flush()
-        if rows:
+            nonlocal held, n, parts
+            name = f"part-{task.partitionId():05d}-{parts:05d}.arrow"
+            mine = f"{base}/.{name}.{task.taskAttemptId()}"  # another attempt may write at the same time
+            with fs.open_output_stream(mine) as f, pyarrow.ipc.new_file(f, schema) as out:
+                out.write_table(pa.Table.from_batches(held, schema), BATCH_ROWS)
+            fs.move(mine, f"{base}/{name}")
+            held, n, parts = [], 0, parts + 1
+
+        for b in batches:
+            b = pa.RecordBatch.from_arrays([b.column(0), *[fixed(b.column(i + 1), c) for i, c in enumerate(names)]], schema=schema)
+            while len(b):
+                held.append(b.slice(0, rows - n))
+                n, b = n + len(held[-1]), b.slice(rows - n)
+                if n == rows:
+                    flush()
+        if held:
             flush()
+        yield pa.RecordBatch.from_arrays([pa.array([parts], pa.int64())], names=["files"])
+
+    fs, base = emptied()
+    wide = spread(to_wide(long, names), ID, STEP, by_range=True).sortWithinPartitions(ID, STEP)
+    files = sum(r.files for r in wide.select(TIME, *names).mapInArrow(run, "files long").collect())
+    if not files:
+        with fs.open_output_stream(f"{base}/part-00000-00000.arrow") as f, pyarrow.ipc.new_file(f, schema):
+            pass
 
 
 def write_duckdb(long: DataFrame, path: str, table: str, rows: int = 50_000) -> None:
