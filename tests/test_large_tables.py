@@ -87,6 +87,13 @@ def test_arrow_files_are_written_and_read_by_many_tasks(uncoalesced, run, tmp_pa
         writers.write_arrow(run, path, {"p": 2, "q": 1})
 
 
+def test_two_keys_sum_without_a_grid(spark, sf, odd):
+    got = catalog.QUERIES["grouped_two_keys"](spark, sf)
+    assert plan(got).count("Window [") == 1
+    for d in (sf, odd):
+        assert same_as_sql(spark, "grouped_two_keys", d, "lineitem")
+
+
 def test_rows_that_may_differ_are_read_once(spark):
     bare = spark.range(5).select(F.col("id").cast("double").alias("0"))
     assert [r["state"] for r in readers.from_dataframe(bare, "p").orderBy(STEP).collect()] == [[float(k)] for k in range(5)]
