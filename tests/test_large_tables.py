@@ -108,3 +108,10 @@ def test_round_trips_are_numbered_by_many_tasks(uncoalesced, sf, monkeypatch, na
     got = catalog.QUERIES[f"round_trip_{name}"](spark, sf)
     assert max(sizes(got)) < 0.8 * got.count()
     assert same_as_sql(spark, f"round_trip_{name}", sf, "events")
+
+
+@pytest.mark.parametrize("name", ["max"])
+def test_groups_are_exploded_after_the_sorts(spark, odd, name):
+    above = plan(catalog.QUERIES[f"grouped_{name}"](spark, odd)).split("Generate")
+    assert len(above) == 2 and "Window" not in above[0] and "Sort" not in above[0] and "Window" in above[1]
+    assert same_as_sql(spark, f"grouped_{name}", odd, "lineitem")
