@@ -110,7 +110,7 @@ def test_round_trips_are_numbered_by_many_tasks(uncoalesced, sf, monkeypatch, na
     assert same_as_sql(spark, f"round_trip_{name}", sf, "events")
 
 
-@pytest.mark.parametrize("name", ["max", "rolling_max", "rolling_min", "rolling_sum", "sum", "min", "rolling_mean", "count", "mean"])
+@pytest.mark.parametrize("name", ["max", "rolling_max", "rolling_min", "rolling_sum", "sum", "min", "rolling_mean", "count", "mean", "rolling_count"])
 def test_groups_are_exploded_after_the_sorts(spark, odd, name):
     above = plan(catalog.QUERIES[f"grouped_{name}"](spark, odd)).split("Generate")
     assert len(above) == 2 and "Window" not in above[0] and "Sort" not in above[0] and "Window" in above[1]
