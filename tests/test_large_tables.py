@@ -99,7 +99,7 @@ def test_rows_that_may_differ_are_read_once(spark):
     assert [r["state"] for r in readers.from_dataframe(bare, "p").orderBy(STEP).collect()] == [[float(k)] for k in range(5)]
 
 
-@pytest.mark.parametrize("name", ["arrow", "parquet", "csv", "json_log"])
+@pytest.mark.parametrize("name", ["arrow", "parquet", "csv", "json_log", "dataframe"])
 def test_round_trips_are_numbered_by_many_tasks(uncoalesced, sf, monkeypatch, name):
     spark = uncoalesced
     numbered = series.numbered
